@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import preparation
+from . import preparation, workloads
 
-FLAGSHIP = "p4_links"
-_MODULES = (preparation,)
+FLAGSHIP = "pagerank_top100"
+_MODULES = (workloads, preparation)
 
 
 def queries() -> dict:
