@@ -2,14 +2,13 @@
 
 Record blocks go through the columnar CSV reader at once. A block that does not
 come back whole and within its domains is split in half until the bad records
-stand alone; only those are read by the strict, slow splitter, which names the
-reason. No record is lost: each input row gives exactly one output row.
+stand alone or among a few; only those are read by the strict, slow splitter, which
+names the reason. No record is lost: each input row gives exactly one output row.
 """
 
 from __future__ import annotations
 
-import io
-
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import csv
@@ -25,11 +24,14 @@ FIELDS = [
 COUNT_TYPES = ["P20", "P21", "P22", "P23", "P34", "P35", "P48"]
 SIGHTING = r"^(?:X|\?|[0-9]+)$"
 
-#: A field list in which every quoted field is closed by its first undoubled quote.
+#: As many fields as wanted, every quoted one closed by its first undoubled quote.
 #: Lines of this form are split alike by the columnar reader and the strict splitter.
-PLAIN = r'\A(?:[^",\r\n]*|"(?:[^"\r\n]|"")*")(?:,(?:[^",\r\n]*|"(?:[^"\r\n]|"")*"))*\z'
+_PLAIN_FIELD = r'(?:[^",\r\n]*|"(?:[^"\r\n]|"")*")'
+PLAIN = rf"\A{_PLAIN_FIELD}(?:,{_PLAIN_FIELD}){{{len(FIELDS) - 1}}}\z"
 TYPED = {"YEAR": "int", "MONTH": "int", "DAY": "int", "TIME": "double", "EFFORT_DISTANCE_KM": "double"}
-LEAST_BLOCK, FIRST_BLOCK, MOST_BLOCK = 16, 512, 8192
+LEAST_BLOCK, FIRST_BLOCK, MOST_BLOCK = 32, 512, 8192
+#: A failing block of so few records is read strictly as it is: a call of the columnar reader costs more.
+LEAF = 16
 
 
 def split_strict(line: str) -> tuple[list[str], str | None]:
@@ -83,19 +85,18 @@ def diagnose(line: str | None) -> tuple[list[str] | None, str | None]:
     return fields, None
 
 
-def _read_block(lines: pa.Array, plain: pa.Array) -> pa.Table | None:
+def _options() -> dict:
+    return {
+        "parse_options": csv.ParseOptions(ignore_empty_lines=False),
+        "convert_options": csv.ConvertOptions(column_types={f: pa.string() for f in FIELDS}, strings_can_be_null=False),
+    }
+
+
+def _read_block(lines: pa.Array, options: dict) -> pa.Table | None:
     """The block as columns if every record in it is valid, else None."""
-    if not pc.all(plain).as_py():
-        return None
-    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(lines)], pa.int32()), lines), "\n")[0].as_py() + "\n"
-    data = joined.encode()
+    data = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(lines)], pa.int32()), lines), "\n")[0].as_py().encode() + b"\n"
     try:
-        table = csv.read_csv(
-            io.BytesIO(data),
-            read_options=csv.ReadOptions(column_names=FIELDS, use_threads=False, block_size=len(data) + 1),
-            parse_options=csv.ParseOptions(ignore_empty_lines=False),
-            convert_options=csv.ConvertOptions(column_types={f: pa.string() for f in FIELDS}, strings_can_be_null=False),
-        )
+        table = csv.read_csv(pa.BufferReader(data), read_options=csv.ReadOptions(column_names=FIELDS, use_threads=False, block_size=len(data) + 1), **options)
     except pa.ArrowInvalid:
         return None
     if table.num_rows != len(lines):
@@ -106,19 +107,22 @@ def _read_block(lines: pa.Array, plain: pa.Array) -> pa.Table | None:
 
 def parse_lines(lines: pa.Array) -> tuple[list[pa.Table], list[str | None]]:
     """Parsed blocks in the order of the lines (null fields where rejected), and a reason or None for each line."""
-    blocks, reasons = [], []
+    blocks, reasons, options = [], [], _options()
     plain = pc.fill_null(pc.match_substring_regex(lines, PLAIN), False)
+    # A running count of lines that are not plain tells for any block at once whether the reader can split it.
+    odd = np.concatenate(([0], np.cumsum(~plain.to_numpy(zero_copy_only=False))))
 
     def visit(start: int, stop: int) -> bool:
-        table = _read_block(lines.slice(start, stop - start), plain.slice(start, stop - start))
+        table = _read_block(lines.slice(start, stop - start), options) if odd[stop] == odd[start] else None
         if table is not None:
             blocks.append(table)
             reasons.extend([None] * (stop - start))
             return True
-        if stop - start == 1:
-            fields, reason = diagnose(lines[start].as_py())
-            blocks.append(pa.table({f: pa.array([None if fields is None else fields[k]], pa.string()) for k, f in enumerate(FIELDS)}))
-            reasons.append(reason)
+        if stop - start <= LEAF:
+            own = [diagnose(line) for line in lines.slice(start, stop - start).to_pylist()]
+            blank = [None] * len(FIELDS)
+            blocks.append(pa.table([pa.array(c, pa.string()) for c in zip(*(f or blank for f, _ in own), strict=True)], names=FIELDS))
+            reasons.extend(r for _, r in own)
             return False
         middle = (start + stop) // 2
         visit(start, middle)
