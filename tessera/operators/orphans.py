@@ -22,7 +22,7 @@ from ..session import staged
 from .bitmaps import Bitmap
 
 #: Distinct (key, period) pairs and parents for each key range, which bounds a task's memory.
-RANGE_ROWS = 150_000
+RANGE_ROWS = 60_000
 NAME, INDEX = "name", "index"
 FOREVER = 2**31 - 1
 NO_PERIOD = -1
@@ -80,32 +80,36 @@ def _survivors(table: pa.Table) -> pa.Table:
     some_from, some_to, all_from, all_to = (table[c].to_numpy()[own].astype(np.int64) for c in ("some_from", "some_to", "all_from", "all_to"))
     order = np.argsort(parent_code, kind="stable")
     sorted_code = parent_code[order]
-    starts, stops = table["start"], table["stop"]
 
-    out_code, out_period, out_intervals = [], [], []
+    kept: list[tuple[np.ndarray, int, bool]] = []  # codes, period, whether to be compared time by time
     for month in np.unique(period[~is_parent]):
         referred = Bitmap.of(codes[~is_parent & (period == month)])
         some = Bitmap.of(parent_code[(some_from <= month) & (some_to >= month)])
         whole = Bitmap.of(parent_code[(all_from <= month) & (all_to >= month)])
         never = referred.and_not(some)
-        changing = referred.and_not(never).and_not(whole)
-        gone = never.decode()
-        out_code.append(gone)
-        out_period.append(np.full(len(gone), month))
-        out_intervals += [None] * len(gone)
-        for code in changing.decode():
-            rows = own[order[np.searchsorted(sorted_code, code, "left") : np.searchsorted(sorted_code, code, "right")]]
-            near = [(starts[int(r)].as_py(), stops[int(r)].as_py()) for r in rows if table["some_from"][int(r)].as_py() <= month <= table["some_to"][int(r)].as_py()]
-            out_code.append(np.array([code]))
-            out_period.append(np.array([month]))
-            out_intervals.append([{"start": a, "stop": b} for a, b in near])
-    if not out_code:
+        kept += [(never.decode(), int(month), False), (referred.and_not(never).and_not(whole).decode(), int(month), True)]
+    if not kept:
         return _ARROW.empty_table()
-    labels = names.take(pa.array(np.concatenate(out_code).astype(np.int64)))
-    parts = pa.compute.split_pattern(labels, ":", max_splits=1)
-    flat = parts.flatten()
-    space, key = flat.take(pa.array(np.arange(0, len(flat), 2))), flat.take(pa.array(np.arange(1, len(flat), 2)))
-    return pa.table([space, key, pa.array(np.concatenate(out_period).astype(np.int32)), pa.array(out_intervals, _ARROW.field("intervals").type)], schema=_ARROW)
+    out_code = np.concatenate([k[0] for k in kept]).astype(np.int64)
+    out_period = np.repeat([k[1] for k in kept], [len(k[0]) for k in kept]).astype(np.int32)
+    compared = np.repeat([k[2] for k in kept], [len(k[0]) for k in kept])
+
+    # The parents' intervals that touch the period, as one list for each compared bit.
+    left = np.searchsorted(sorted_code, out_code, "left")
+    count = np.where(compared, np.searchsorted(sorted_code, out_code, "right") - left, 0)
+    bit = np.repeat(np.arange(len(out_code)), count)
+    at = order[np.arange(len(bit)) - np.repeat(np.cumsum(count) - count, count) + left[bit]]
+    near = (some_from[at] <= out_period[bit]) & (out_period[bit] <= some_to[at])
+    bit, at = bit[near], at[near]
+    offsets = np.concatenate(([0], np.cumsum(np.bincount(bit, minlength=len(out_code))))).astype(np.int32)
+    rows = pa.array(own[at])
+    touching = pa.StructArray.from_arrays([table["start"].combine_chunks().take(rows), table["stop"].combine_chunks().take(rows)], ["start", "stop"])
+    intervals = pa.ListArray.from_arrays(pa.array(offsets), touching)
+    intervals = pa.compute.if_else(pa.array(compared), intervals, pa.scalar(None, intervals.type))
+
+    parts = pa.compute.split_pattern(names.take(pa.array(out_code)), ":", max_splits=1).flatten()
+    space, key = (parts.take(pa.array(np.arange(k, len(parts), 2))) for k in (0, 1))
+    return pa.table([space, key, pa.array(out_period), intervals], schema=_ARROW)
 
 
 def find_orphans(refs: DataFrame, parent_times: DataFrame, *, range_rows: int = RANGE_ROWS) -> DataFrame:
