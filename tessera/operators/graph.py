@@ -47,7 +47,7 @@ def transition_matrix(edges: DataFrame, index: DataFrame | None = None, *, padde
     at = lambda name: index.select(F.col("node").alias(name), F.col("idx").alias(f"{name}_idx"))
     cells = cells.join(at("i"), "i").join(at("j"), "j").select(F.col("i_idx").alias("i"), F.col("j_idx").alias("j"), "v")
     if padded:
-        bare = index.select(F.col("idx").alias("i")).join(cells.select("i").distinct(), "i", "left_anti")
+        bare = index.join(edges.select(F.col("dst").alias("node")).distinct(), "node", "left_anti").select(F.col("idx").alias("i"))
         cells = cells.unionByName(bare.select("i", F.lit(0).cast("long").alias("j"), F.lit(0.0).alias("v")))
     return cells
 
@@ -105,9 +105,10 @@ def initial_ranks(edges: DataFrame) -> tuple[DataFrame, int]:
 def pagerank(edges: DataFrame, *, iterations: int = 10, alpha: float = ALPHA, damped: bool = False, strategy: str = "auto", tolerance: float | None = None, cut_every: int = 1) -> DataFrame:
     """(node, rank) after ``iterations``, or earlier once no rank moves by more than ``tolerance``.
 
-    The matrix is built once and written; ranks are written every ``cut_every``
+    Edges and matrix are built once and written; ranks are written every ``cut_every``
     rounds, so the plan stays short and a lost executor costs one round.
     """
+    edges = staged(edges)
     matrix = staged(transition_matrix(edges))
     ranks, n = initial_ranks(edges)
     for done in range(1, iterations + 1):

@@ -130,12 +130,17 @@ def page_links(edges: DataFrame, share: float = 0.02) -> DataFrame:
     Counts merge per (page, partner) first: a hot page's links are spread by
     partner, and what is left of them sums map-side.
     """
-    links = unique_links(edges)
+    links = staged(unique_links(edges))
     sides = F.array(
         F.struct(F.col("src").alias("page_name"), F.col("dst").alias("partner"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("page_name"), F.col("src").alias("partner"), F.lit(0).alias("o"), F.lit(1).alias("i"))
     )
     ends = links.select(F.explode(sides).alias("e")).select("e.*").filter("page_name is not null")
     pairs = ends.groupBy("page_name", "partner").agg(F.sum("o").alias("o"), F.sum("i").alias("i"))
     totals = pairs.groupBy("page_name").agg(F.sum("o").alias("links_out"), F.sum("i").alias("links_in"), F.count("partner").alias("partners"))
-    hot = hot_pages(edges, share).select("page_name").distinct().withColumn("is_hot", F.lit(True))
+    columns = links.select(F.explode(F.array(*(F.struct(F.lit(c).alias("end_col"), F.col(c).alias("page_name")) for c in ("src", "dst")))).alias("e")).select("e.*").filter("page_name is not null")
+    hashed = columns.withColumn("value", F.xxhash64("page_name"))
+    found = staged(frequent_values(hashed, "end_col", "value", share))
+    # Counted by name among the rows of the hashes found, so that a shared hash makes no page hot.
+    counted = hashed.join(found, ["end_col", "value"]).groupBy("end_col", "page_name").agg(F.count("*").alias("links"), F.first("n").alias("n"))
+    hot = counted.filter(F.col("links") * SHARE_UNIT >= F.col("n") * max(1, round(share * SHARE_UNIT))).select("page_name").distinct().withColumn("is_hot", F.lit(True))
     return totals.join(hot, "page_name", "left").withColumn("is_hot", F.coalesce("is_hot", F.lit(False)))

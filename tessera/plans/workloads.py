@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import climate, features, forest, graph, links, numbering, words
 from ..operators.selection import unique_links
+from ..session import staged
 from ..sources import readers
 from ..sources.tables import table
 
@@ -45,12 +46,12 @@ def _edges(spark: SparkSession, d: str) -> DataFrame:
     return graph.merged(unique_links(table(spark, d, "edges")))
 
 
-def _index(spark: SparkSession, d: str) -> DataFrame:
-    return numbering.dense_numbers(graph.nodes(_edges(spark, d)), [F.col("node").asc()])
+def _index(edges: DataFrame) -> DataFrame:
+    return numbering.dense_numbers(graph.nodes(edges), [F.col("node").asc()])
 
 
 def node_index(spark: SparkSession, d: str) -> DataFrame:
-    return _index(spark, d)
+    return _index(_edges(spark, d))
 
 
 def node_count(spark: SparkSession, d: str) -> DataFrame:
@@ -58,7 +59,7 @@ def node_count(spark: SparkSession, d: str) -> DataFrame:
 
 
 def adjacency_list(spark: SparkSession, d: str) -> DataFrame:
-    return graph.adjacency(_edges(spark, d))
+    return graph.adjacency(staged(_edges(spark, d)))
 
 
 def out_degree(spark: SparkSession, d: str) -> DataFrame:
@@ -66,16 +67,17 @@ def out_degree(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dangling_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return graph.dangling(_edges(spark, d))
+    return graph.dangling(staged(_edges(spark, d)))
 
 
 def transition_matrix(spark: SparkSession, d: str) -> DataFrame:
-    cells = graph.transition_matrix(_edges(spark, d), _index(spark, d), padded=True)
+    edges = staged(_edges(spark, d))
+    cells = graph.transition_matrix(edges, staged(_index(edges)), padded=True)
     return cells.select("i", "j", F.round("v", 9).alias("v"))
 
 
 def dangling_mass(spark: SparkSession, d: str) -> DataFrame:
-    ranks, _ = graph.initial_ranks(_edges(spark, d))
+    ranks, _ = graph.initial_ranks(staged(_edges(spark, d)))
     return ranks.agg(F.round(F.coalesce(F.sum(F.when(F.col("is_dangling"), F.col("rank"))), F.lit(0.0)), 9).alias("mass"))
 
 
@@ -185,7 +187,7 @@ FOREST = {"trees": 20, "depth": 8, "bins": 256}
 
 
 def forest_accuracy(spark: SparkSession, d: str) -> DataFrame:
-    rows = _features(spark, d)
+    rows = staged(_features(spark, d))
     train, test = forest.split(rows, "row_id", 0.05)
     model = forest.fit_forest(train, ids=_KEEP, **FOREST)
     value = forest.accuracy(forest.predict(model, test, ids=_KEEP)) if not test.isEmpty() else None
@@ -193,7 +195,7 @@ def forest_accuracy(spark: SparkSession, d: str) -> DataFrame:
 
 
 def forest_predictions(spark: SparkSession, d: str) -> DataFrame:
-    rows = _features(spark, d)
+    rows = staged(_features(spark, d))
     model = forest.fit_forest(forest.split(rows, "row_id", 0.05)[0], ids=_KEEP, **FOREST)
     return forest.predict(model, rows, ids=_KEEP).select("sampling_event_id0", "prediction")
 
