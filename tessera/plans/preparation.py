@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import hotdeck, orphans, parsing, selection
+from ..session import staged
 from ..sources.tables import table
 
 
@@ -35,7 +36,8 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _fills(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    clean = hotdeck.clean_checklists(table(spark, d, "checklists"), table(spark, d, "counties"))
+    # Five sorts read the cleaned columns: they are written once.
+    clean = staged(hotdeck.clean_checklists(table(spark, d, "checklists"), table(spark, d, "counties")))
     return clean, hotdeck.fill_missing(clean, hotdeck.checklist_fills())
 
 
