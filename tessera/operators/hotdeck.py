@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.columns import number, stripped
@@ -19,33 +19,37 @@ from ..functions.columns import number, stripped
 _GROUP, _CHUNK, _ORDER, _ID, _DONOR = "__group", "__chunk", "__order", "__id", "__donor"
 
 
+def _last_before(column: str, order: WindowSpec) -> Column:
+    return F.last(column, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+
+
 def nearest_donors(rows: DataFrame, *, row_id: Column, group: list[Column], chunk: Column, order: Column, value: Column) -> DataFrame:
     """Donors for every row with a null ``value``: row_id, value, donor_id, donor_distance, donor_direction.
 
-    Rows with a null in ``group`` belong to no group. ``order`` is a number;
+    Rows with a null in ``group`` belong to no group, and rows without a ``row_id``
+    can be named neither as a result nor as a donor: both are left aside. ``order`` is a number;
     equal numbers stand in the order of ``row_id``, and of two donors at the same
     distance the previous one is taken. Rows without a donor in their group are
     not returned. A chunk must hold neighbours in the order, that is, ``chunk``
     must not decrease along (order, row_id).
     """
-    known = None
+    known = row_id.isNotNull()
     for g in group:
-        known = g.isNotNull() if known is None else known & g.isNotNull()
+        known = known & g.isNotNull()
     base = rows.filter(known).select(F.struct(*(g.alias(f"g{k}") for k, g in enumerate(group))).alias(_GROUP), chunk.alias(_CHUNK), order.cast("double").alias(_ORDER), row_id.alias(_ID), value.alias("value"))
-    at = [F.col(_ORDER).asc_nulls_first(), F.col(_ID)]
+    at, back_at = [F.col(_ORDER).asc_nulls_first(), F.col(_ID)], [F.col(_ORDER).desc_nulls_last(), F.col(_ID).desc()]
     donor = F.when(F.col("value").isNotNull(), F.struct("value", F.col(_ID).alias("id"), F.col(_ORDER).alias("at")))
     base = base.withColumn(_DONOR, donor)
-    inner = Window.partitionBy(_GROUP, _CHUNK).orderBy(*at)
-    marked = base.withColumn("prev", F.last(_DONOR, ignorenulls=True).over(inner.rowsBetween(Window.unboundedPreceding, -1))).withColumn(
-        "next", F.first(_DONOR, ignorenulls=True).over(inner.rowsBetween(1, Window.unboundedFollowing))
-    )
+    # The next donor is the last one of the reverse order: a frame that shrinks from its start would be read anew for each row.
+    inner = Window.partitionBy(_GROUP, _CHUNK)
+    marked = base.withColumn("prev", _last_before(_DONOR, inner.orderBy(*at))).withColumn("next", _last_before(_DONOR, inner.orderBy(*back_at)))
     place = F.when(F.col(_DONOR).isNotNull(), F.struct(_ORDER, _ID))
     summary = base.groupBy(_GROUP, _CHUNK).agg(F.max_by(_DONOR, place).alias("last"), F.min_by(_DONOR, place).alias("first"))
-    outer = Window.partitionBy(_GROUP).orderBy(F.col(_CHUNK).asc_nulls_first())
+    outer = Window.partitionBy(_GROUP)
     carried = summary.select(
         F.col(_GROUP).alias("cg"), F.col(_CHUNK).alias("cc"),
-        F.last("last", ignorenulls=True).over(outer.rowsBetween(Window.unboundedPreceding, -1)).alias("carry_prev"),
-        F.first("first", ignorenulls=True).over(outer.rowsBetween(1, Window.unboundedFollowing)).alias("carry_next"),
+        _last_before("last", outer.orderBy(F.col(_CHUNK).asc_nulls_first())).alias("carry_prev"),
+        _last_before("first", outer.orderBy(F.col(_CHUNK).desc_nulls_last())).alias("carry_next"),
     ).filter("carry_prev is not null or carry_next is not null")
     missing = marked.filter(F.col("value").isNull())
     joined = missing.join(carried, F.col(_GROUP).eqNullSafe(F.col("cg")) & F.col(_CHUNK).eqNullSafe(F.col("cc")), "left")
