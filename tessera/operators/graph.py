@@ -19,24 +19,32 @@ LIST_LIMIT = 10_000
 BROADCAST_NODES = 5_000_000
 
 
+def from_lists(lists: DataFrame) -> DataFrame:
+    """(src, dst) of (page, links) rows, order and repeated links kept."""
+    return lists.select(F.col("page").alias("src"), F.explode("links").alias("dst"))
+
+
 def merged(links: DataFrame, *, multigraph: bool = True) -> DataFrame:
     """(src, dst, links): parallel links merged into their number, or into 1; rows without both ends dropped."""
     pairs = links.filter("src is not null and dst is not null").groupBy("src", "dst").agg(F.count("*").alias("links"))
     return pairs if multigraph else pairs.withColumn("links", F.lit(1).cast("long"))
 
 
-def nodes(edges: DataFrame) -> DataFrame:
-    """Every page that links or is linked to: (node)."""
-    return edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+def nodes(edges: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """Every page that links, is linked to, or is in ``pages`` (page): (node)."""
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("node"))
+    return (ends if pages is None else ends.unionByName(pages.select(F.col("page").alias("node")).filter("node is not null"))).distinct()
 
 
 def out_degrees(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.sum("links").alias("degree"))
 
 
-def dangling(edges: DataFrame) -> DataFrame:
+def dangling(edges: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """Nodes without a link of their own: (node)."""
-    return edges.select(F.col("dst").alias("node")).distinct().join(edges.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
+    targets = edges.select(F.col("dst").alias("node"))
+    targets = targets if pages is None else targets.unionByName(pages.select(F.col("page").alias("node")).filter("node is not null"))
+    return targets.distinct().join(edges.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
 
 
 def transition_matrix(edges: DataFrame, index: DataFrame | None = None, *, padded: bool = False) -> DataFrame:
@@ -52,7 +60,7 @@ def transition_matrix(edges: DataFrame, index: DataFrame | None = None, *, padde
     return cells
 
 
-def adjacency(edges: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
+def adjacency(edges: DataFrame, limit: int = LIST_LIMIT, pages: DataFrame | None = None) -> DataFrame:
     """(page, part, links): the links of each page in name order, joined by ``|``, empty for a dangling page.
 
     Pages with more than ``limit`` links have several parts, by a hash of the target:
@@ -64,7 +72,7 @@ def adjacency(edges: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
     split = runs.join(size, "src").withColumn("part", F.pmod(F.xxhash64("dst", "run"), F.col("parts")))
     lists = split.groupBy(F.col("src").alias("page"), "part").agg(F.array_sort(F.flatten(F.collect_list(F.array_repeat("dst", F.col("times"))))).alias("l"))
     full = lists.select("page", F.col("part").cast("int").alias("part"), F.array_join("l", "|").alias("links"))
-    return full.unionByName(dangling(edges).select(F.col("node").alias("page"), F.lit(0).alias("part"), F.lit("").alias("links")))
+    return full.unionByName(dangling(edges, pages).select(F.col("node").alias("page"), F.lit(0).alias("part"), F.lit("").alias("links")))
 
 
 def _joined(matrix: DataFrame, ranks: DataFrame, strategy: str) -> DataFrame:
@@ -88,21 +96,22 @@ def rank_step(matrix: DataFrame, ranks: DataFrame, n: int, *, alpha: float = ALP
     r'(i) = alpha/n + (1-alpha) * sum(M(i,j) r(j)) + d/n, with d the rank of the
     dangling nodes before the step, damped by (1-alpha) on request.
     """
+    n = max(n, 1)  # an empty graph has no rows to rank
     mass = ranks.agg(F.sum(F.when(F.col("is_dangling"), F.col("rank")))).first()[0] or 0.0
     spread = mass * ((1 - alpha) if damped else 1.0) / n
     sums = multiply(matrix, ranks, strategy).withColumnRenamed("rank", "sum")
     return ranks.join(sums, "node", "left").select("node", (F.lit(alpha / n + spread) + (1 - alpha) * F.coalesce("sum", F.lit(0.0))).alias("rank"), "is_dangling")
 
 
-def initial_ranks(edges: DataFrame) -> tuple[DataFrame, int]:
+def initial_ranks(edges: DataFrame, pages: DataFrame | None = None) -> tuple[DataFrame, int]:
     """Uniform ranks (node, rank, is_dangling) and the number of nodes."""
     sources = edges.select(F.col("src").alias("node")).distinct().withColumn("links_out", F.lit(True))
-    marked = staged(nodes(edges).join(sources, "node", "left").select("node", F.col("links_out").isNull().alias("is_dangling")))
+    marked = staged(nodes(edges, pages).join(sources, "node", "left").select("node", F.col("links_out").isNull().alias("is_dangling")))
     n = marked.count()
     return marked.select("node", F.lit(1.0 / n if n else 0.0).alias("rank"), "is_dangling"), n
 
 
-def pagerank(edges: DataFrame, *, iterations: int = 10, alpha: float = ALPHA, damped: bool = False, strategy: str = "auto", tolerance: float | None = None, cut_every: int = 1) -> DataFrame:
+def pagerank(edges: DataFrame, *, pages: DataFrame | None = None, iterations: int = 10, alpha: float = ALPHA, damped: bool = False, strategy: str = "auto", tolerance: float | None = None, cut_every: int = 1) -> DataFrame:
     """(node, rank) after ``iterations``, or earlier once no rank moves by more than ``tolerance``.
 
     Edges and matrix are built once and written; ranks are written every ``cut_every``
@@ -110,7 +119,7 @@ def pagerank(edges: DataFrame, *, iterations: int = 10, alpha: float = ALPHA, da
     """
     edges = staged(edges)
     matrix = staged(transition_matrix(edges))
-    ranks, n = initial_ranks(edges)
+    ranks, n = initial_ranks(edges, pages)
     for done in range(1, iterations + 1):
         before = ranks
         ranks = rank_step(matrix, ranks, n, alpha=alpha, damped=damped, strategy=strategy)
