@@ -1,6 +1,7 @@
 """Mixing sources to target weights: multivariate-hypergeometric splitting tree.
 
-A pseudo-random permutation cuts each source into blocks. The blocks a source has
+A pseudo-random permutation (the order of a hash) cuts each source into blocks, and
+a block that a quota ends in into finer ones, until few documents are left to choose. The blocks a source has
 to give (with repeats) are its exact quota; a binary tree splits the vector of
 quotas among the output shards, at each node by one multivariate-hypergeometric
 draw, so that every shard gets a random mix and no block is lost or used twice.
@@ -13,19 +14,20 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import staged
 from .tokens import with_token_counts
 
-#: Blocks of each source, whatever its size; with the listed sources they bound what the driver holds.
-BLOCKS = 512
+#: Each source, and each block that is refined, has 2 ** BLOCK_BITS blocks, whatever its size; with the listed
+#: sources they bound what the driver holds.
+BLOCK_BITS, MOST_DEPTH = 9, 6
 #: Tokens aimed at for each output shard, and the most shards of one plan.
 SHARD_TOKENS, MOST_SHARDS = 4_000_000, 4096
 SEED = 20240229
-#: Blocks whose documents may fill what whole blocks leave of a quota, and rounds of filling.
-TAIL_BLOCKS, TAIL_ROUNDS = 16, 4
+#: Blocks whose documents may fill what whole blocks leave of a quota, the documents they may hold together, and rounds of filling.
+TAIL_BLOCKS, TAIL_DOCUMENTS, TAIL_ROUNDS = 16, 100_000, 4
 
 
 def source_name(column):
@@ -83,48 +85,77 @@ def plan_quotas(targets: list[tuple[str, float, int]], tokens: dict[str, int]) -
     return rows
 
 
-def _plan_rows(quotas: list[Quota], blocks: dict[tuple[str, int], int], seed: int, shard_tokens: int) -> list[tuple[str, int, int, int, int]]:
-    """(source, block, copy, out_shard, room): every use of a block; room is -1, or the tokens left for the blocks used in part."""
-    rng = np.random.default_rng(seed)
-    sequences: list[list[tuple[int, int, int]]] = []
+def block_at(depth: int) -> Column:
+    """The block of a document at a depth: the leading bits of its hash."""
+    return F.shiftrightunsigned("h", 64 - BLOCK_BITS * (depth + 1))
+
+
+def _sequences(sized: DataFrame, quotas: list[Quota], sizes: dict[str, dict[int, tuple[int, int]]], rng: np.random.Generator, tail_documents: int) -> list[list[tuple[int, int, int, int]]]:
+    """For each source its uses of blocks in permuted order: (depth, block, copy, room); room is -1, or the tokens left for the tail blocks, used in part."""
+    uses = []
     for q in quotas:
-        own = np.array(sorted(b for s, b in blocks if s == q.source), np.int64)
-        uses = []
-        for copy in range(q.full):
-            uses += [(int(b), copy, -1) for b in rng.permutation(own)]
-        left, tail = q.rest, 0
-        for b in rng.permutation(own):
-            if left <= 0 or tail == TAIL_BLOCKS:
-                break
-            size = blocks[q.source, int(b)]
-            if tail or size > left:
-                uses.append((int(b), q.full, left))
-                tail += 1
+        own = np.array(sorted(sizes[q.source]), np.int64)
+        uses.append([(0, int(b), copy, -1) for copy in range(q.full) for b in rng.permutation(own)])
+    open_at = {k: (sizes[q.source], q.rest) for k, q in enumerate(quotas) if q.rest}
+    for depth in range(MOST_DEPTH):
+        finer: dict[int, tuple[int, int]] = {}
+        for k, (blocks, left) in open_at.items():
+            order = [int(b) for b in rng.permutation(np.array(sorted(blocks), np.int64))]
+            at = 0
+            while at < len(order) and blocks[order[at]][0] <= left:
+                uses[k].append((depth, order[at], quotas[k].full, -1))
+                left -= blocks[order[at]][0]
+                at += 1
+            tail = order[at : at + TAIL_BLOCKS]
+            if left <= 0 or not tail:
+                continue
+            if sum(blocks[b][1] for b in tail) <= tail_documents or depth + 1 == MOST_DEPTH:
+                uses[k] += [(depth, b, quotas[k].full, left) for b in tail]
             else:
-                uses.append((int(b), q.full, -1))
-                left -= size
-        sequences.append(uses)
+                finer[k] = (tail[0], left)
+        if not finer:
+            break
+        inside = F.lit(False)
+        for k, (block, _) in finer.items():
+            inside = inside | ((F.col("source") == quotas[k].source) & (block_at(depth) == block))
+        found = _block_sizes(sized.filter(inside), depth + 1)
+        open_at = {k: (found[quotas[k].source], left) for k, (_, left) in finer.items()}
+    return uses
+
+
+def _block_sizes(sized: DataFrame, depth: int) -> dict[str, dict[int, tuple[int, int]]]:
+    """Tokens and documents of every block, by source; at most 2 ** BLOCK_BITS for each source."""
+    out: dict[str, dict[int, tuple[int, int]]] = {}
+    rows = sized.filter("n_tokens > 0").groupBy("source", block_at(depth).alias("block")).agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n"))
+    for source, block, t, n in rows.collect():
+        out.setdefault(source, {})[block] = (int(t), int(n))
+    return out
+
+
+def _dealt(quotas: list[Quota], sequences: list[list[tuple[int, int, int, int]]], rng: np.random.Generator, shard_tokens: int) -> list[tuple[str, int, int, int, int, int]]:
+    """The uses dealt to the output shards by the splitting tree: (source, depth, block, copy, room, out_shard)."""
     total = sum(q.quota for q in quotas)
     shards = int(min(MOST_SHARDS, max(1, -(-total // shard_tokens))))
     leaves = split_quotas(np.array([len(s) for s in sequences]), shards, rng)
     out, at = [], [0] * len(sequences)
     for shard, counts in enumerate(leaves):
         for k, count in enumerate(counts):
-            out += [(quotas[k].source, block, copy, shard, room) for block, copy, room in sequences[k][at[k] : at[k] + count]]
+            out += [(quotas[k].source, *use, shard) for use in sequences[k][at[k] : at[k] + count]]
             at[k] += int(count)
     return out
 
 
 @dataclass
 class Mix:
-    """The sized documents (doc_id, source, n_tokens, block, h) and the plan (source, block, copy, out_shard, room)."""
+    """The sized documents (doc_id, source, n_tokens, h) and the plan (source, depth, block, copy, room, out_shard)."""
 
     sized: DataFrame
     plan: DataFrame
     targets: DataFrame
+    depths: list[int]
 
 
-def plan_mix(documents: DataFrame, targets: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, blocks: int = BLOCKS, shard_tokens: int = SHARD_TOKENS, tokenizer_dir: str | None = None) -> Mix:
+def plan_mix(documents: DataFrame, targets: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, shard_tokens: int = SHARD_TOKENS, tail_documents: int = TAIL_DOCUMENTS, tokenizer_dir: str | None = None) -> Mix:
     """Measure the documents once and plan the mix.
 
     ``targets`` (source, target_share, max_repeats) is a small fixed list; names
@@ -137,20 +168,17 @@ def plan_mix(documents: DataFrame, targets: DataFrame, *, id_col: str = "doc_id"
     for r in targets.select(source_name(F.col("source")).alias("s"), "target_share", "max_repeats").filter("s is not null").orderBy("s", "target_share", "max_repeats").collect():
         listed.setdefault(r[0], (r[0], float(r[1] or 0), 1 if r[2] is None else int(r[2])))
     slim = documents.select(F.col(id_col).alias("doc_id"), source_name(F.col(source_col).cast("string")).alias("source"), F.col(text_col).cast("string").alias("text"))
-    sized = with_token_counts(slim, "text", "n_tokens", directory=tokenizer_dir).drop("text").withColumn("h", F.xxhash64(F.lit(seed), "doc_id"))
-    sized = staged(sized.withColumn("block", F.pmod(F.shiftright("h", 20), F.lit(blocks)).cast("int")))
-    used = sized.filter(F.col("source").isin(list(listed)) & (F.col("n_tokens") > 0)).groupBy("source", "block").agg(F.sum("n_tokens").alias("t"))
-    sizes = {(r[0], r[1]): int(r[2]) for r in used.collect()}
-    tokens: dict[str, int] = {}
-    for (source, _), t in sizes.items():
-        tokens[source] = tokens.get(source, 0) + t
-    rows = _plan_rows(plan_quotas(list(listed.values()), tokens), sizes, seed, shard_tokens)
-    plan = spark.createDataFrame(rows, "source string, block int, copy int, out_shard int, room long")
-    return Mix(sized, plan, spark.createDataFrame(list(listed.values()), "source string, target_share double, max_repeats int"))
+    sized = staged(with_token_counts(slim, "text", "n_tokens", directory=tokenizer_dir).drop("text").withColumn("h", F.xxhash64(F.lit(seed), "doc_id")))
+    sizes = _block_sizes(sized.filter(F.col("source").isin(list(listed))), 0)
+    quotas = plan_quotas(list(listed.values()), {source: sum(t for t, _ in blocks.values()) for source, blocks in sizes.items()})
+    rng = np.random.default_rng(seed)
+    rows = _dealt(quotas, _sequences(sized, quotas, sizes, rng, tail_documents), rng, shard_tokens)
+    plan = spark.createDataFrame(rows, "source string, depth int, block long, copy int, room long, out_shard int")
+    return Mix(sized, plan, spark.createDataFrame(list(listed.values()), "source string, target_share double, max_repeats int"), sorted({r[1] for r in rows}))
 
 
 def _tail_picks(part: DataFrame) -> DataFrame:
-    """``part`` (the documents of a source's tail blocks) with ``picked``: in permuted order as far as they fit, and what still fits of the rest."""
+    """``part`` (the documents of a source's tail blocks, at most TAIL_DOCUMENTS) with ``picked``: in permuted order as far as they fit, and what still fits of the rest."""
     group = Window.partitionBy("source")
     order = group.orderBy("h", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
     part = part.withColumn("left", F.col("room")).withColumn("picked", F.lit(False))
@@ -164,16 +192,24 @@ def _tail_picks(part: DataFrame) -> DataFrame:
 
 def placements(mix: Mix) -> DataFrame:
     """One row for every use of a document: doc_id, source, n_tokens, copy, out_shard, h."""
-    uses = mix.sized.filter("n_tokens > 0").join(mix.plan, ["source", "block"])
-    # A source has one tail of a bounded number of blocks.
-    part = _tail_picks(uses.filter("room >= 0")).filter("picked")
-    return uses.filter("room < 0").unionByName(part, allowMissingColumns=True).select("doc_id", "source", "n_tokens", "copy", "out_shard", "h")
+    columns = ["doc_id", "source", "n_tokens", "copy", "out_shard", "h"]
+    out = None
+    for depth in mix.depths or [0]:
+        uses = mix.sized.filter("n_tokens > 0").withColumn("block", block_at(depth)).join(mix.plan.filter(F.col("depth") == depth).drop("depth"), ["source", "block"])
+        part = _tail_picks(uses.filter("room >= 0")).filter("picked")
+        own = uses.filter("room < 0").select(*columns).unionByName(part.select(*columns))
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 def document_uses(mix: Mix) -> DataFrame:
     """How often each document is used: doc_id, source, n_tokens, times_used (0 included); repeated documents have a row each."""
-    per_block = mix.plan.groupBy("source", "block").agg(F.count_if(F.col("room") < 0).alias("uses"), F.max(F.when(F.col("room") >= 0, F.col("room"))).alias("room"))
-    joined = mix.sized.join(per_block, ["source", "block"], "left").withColumn("uses", F.when(F.col("n_tokens") > 0, F.coalesce("uses", F.lit(0))).otherwise(0).cast("int"))
+    joined = mix.sized.withColumns({"uses": F.lit(0).cast("long"), "room": F.lit(None).cast("long")})
+    for depth in mix.depths:
+        counts = mix.plan.filter(F.col("depth") == depth).groupBy("source", "block").agg(F.count_if(F.col("room") < 0).alias("more"), F.max(F.when(F.col("room") >= 0, F.col("room"))).alias("tail"))
+        joined = joined.withColumn("block", block_at(depth)).join(counts, ["source", "block"], "left")
+        joined = joined.select("doc_id", "source", "n_tokens", "h", (F.col("uses") + F.coalesce("more", F.lit(0))).alias("uses"), F.coalesce("room", "tail").alias("room"))
+    joined = joined.withColumn("uses", F.when(F.col("n_tokens") > 0, F.col("uses")).otherwise(0).cast("int"))
     whole = joined.filter("room is null or n_tokens = 0").select("doc_id", "source", "n_tokens", F.col("uses").alias("times_used"))
     cut = _tail_picks(joined.filter("room is not null and n_tokens > 0")).select("doc_id", "source", "n_tokens", (F.col("uses") + F.col("picked").cast("int")).alias("times_used"))
     return whole.unionByName(cut)

@@ -32,11 +32,13 @@ def mix(spark, docs, targets, **how):
     return mixing.plan_mix(spark.createDataFrame(docs, DOCS), spark.createDataFrame(targets, TARGETS), **how)
 
 
-def test_shares_repeats_and_placements(spark):
+@pytest.mark.parametrize("tail_documents", [100_000, 40, 1])
+def test_shares_repeats_and_placements(spark, tail_documents):
     docs = [(k, "word " * (3 + k % 9), "Big " if k % 2 else "big", "x") for k in range(3000)] + [(10_000 + k, "text " * 6, "small", None) for k in range(40)]
     docs += [(20_000, "lost", "unlisted", None), (20_001, None, "small", None), (20_002, "", "big", None), (20_003, "no source", None, None)]
     targets = [(" BIG", 0.6, 1), ("small", 0.4, 4), ("absent", 0.5, 2), (None, 0.1, 1), ("small", 0.9, 9)]
-    m = mix(spark, docs, targets, shard_tokens=100)
+    m = mix(spark, docs, targets, shard_tokens=100, tail_documents=tail_documents)
+    assert (m.depths == [0]) == (tail_documents > 1000)
     uses = mixing.document_uses(m)
     assert uses.count() == len(docs)
     limits = {r["source"]: r["most"] for r in uses.groupBy("source").agg(F.max("times_used").alias("most")).collect()}
