@@ -45,7 +45,7 @@ PASSAGE = 2
 _TAG = re.compile(r"<[^<>]{0,200}>")
 _END = re.compile(r"[.!?…]+[\"'”’»)\]]*(?=\s|$)")
 _WORD = re.compile(r"[^\W\d_]{2,}")
-_QUOTED = re.compile(r"\([^()]*\)|\"[^\"]*\"|«[^»]*»|“[^”]*”")
+_QUOTED = re.compile(r"\([^()]*\)|\"[^\"]*\"|«[^«»]*»|“[^“”]*”")
 _SPACE = re.compile(r"\s+")
 _DIGIT = re.compile(r"\d+")
 
@@ -152,19 +152,20 @@ def train(labelled: list[tuple[str, str]], *, steps: int = STEPS, seed: int = 5)
 
 def training_sample(documents: DataFrame, text_col: str, label_col: str, id_col: str) -> list[tuple[str, str]]:
     """At most SAMPLE_DOCUMENTS documents of each named language, the first in the order of a hash of the id."""
-    named = documents.select(named_language(F.col(label_col)).alias("code"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.lit("sample")).alias("h"), F.col(id_col).alias("id"))
-    # Long texts add nothing to a sample that takes a few sentences of each; whole texts up to 20,000 characters.
+    code = named_language(F.col(label_col).cast("string"))
+    # The count reads the labels alone; the hash then narrows the one scan of the texts to about as many as are wanted.
+    total = {r[0]: r[1] for r in documents.select(code.alias("code")).filter("code is not null").groupBy("code").count().collect()}
+    named = documents.select(code.alias("code"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.lit("sample")).alias("h"), F.col(id_col).alias("id"))
+    # Long texts add nothing to a sample that takes a few sentences of each.
     named = named.filter("code is not null and length(text) between 40 and 20000")
     out: list[tuple[str, str]] = []
-    # One top-k query for each of the eight languages would scan eight times; the slices of the hash narrow one scan instead.
-    total = {r[0]: r[1] for r in named.groupBy("code").count().collect()}
     if not total:
         return out
     pick = F.lit(False)
     for code, n in total.items():
         share = min(1.0, 2.0 * (SAMPLE_DOCUMENTS + 50) / n)
-        pick = pick | ((F.col("code") == code) & (F.pmod("h", F.lit(1_000_000)) < round(share * 1_000_000)))
-    first = Window.partitionBy("code").orderBy(F.pmod("h", F.lit(1_000_000)), "h", "id")
+        pick = pick | ((F.col("code") == code) & (F.pmod("h", F.lit(10**15)) < round(share * 10**15)))
+    first = Window.partitionBy("code").orderBy(F.pmod("h", F.lit(10**15)), "h", "id")
     rows = named.filter(pick).withColumn("r", F.row_number().over(first)).filter(F.col("r") <= SAMPLE_DOCUMENTS)
     return [(r["text"], r["code"]) for r in rows.select("code", "r", "text").orderBy("code", "r").collect()]
 
@@ -227,7 +228,7 @@ def classify_texts(net: ByteNet, texts: list[str | None], cache: dict[bytes, np.
 
 def _worker(shared, schema: pa.Schema):
     def run(batches):
-        net, cache = shared.value, {}
+        net, cache = ByteNet.of(shared.value), {}
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for start in range(0, len(texts), 512):
@@ -249,7 +250,8 @@ def passages(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
     if net is None:
         net = train(training_sample(documents, text_col, label_col, id_col))
-    shared = documents.sparkSession.sparkContext.broadcast(net)
+    # Bare arrays, some 50 kB whatever the data: an instance would need this package on the workers' path.
+    shared = documents.sparkSession.sparkContext.broadcast(net.p)
     inner = T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("sentences", T.IntegerType()), T.StructField("char_start", T.LongType()), T.StructField("char_end", T.LongType())]))
     schema = T.StructType([T.StructField("doc_id", documents.schema[id_col].dataType), T.StructField("named_lang", T.StringType()), T.StructField("passages", inner)])
     slim = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), named_language(F.col(label_col).cast("string")).alias("named_lang"))

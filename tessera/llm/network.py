@@ -48,6 +48,12 @@ class ByteNet:
         }
         self.p["emb"][0] = 0
 
+    @classmethod
+    def of(cls, parameters: dict[str, np.ndarray]) -> ByteNet:
+        net = cls(len(parameters["obias"]))
+        net.p = dict(parameters)
+        return net
+
     def _columns(self, x: np.ndarray) -> np.ndarray:
         e = self.p["emb"][x]
         n, length, _ = e.shape
