@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
+from dataclasses import dataclass
+
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,26 +25,40 @@ def _indexer(df: DataFrame) -> StringIndexer:
     return StringIndexer(inputCols=own, outputCols=[f"{c}_index" for c in own], handleInvalid="keep", stringOrderType="frequencyDesc")
 
 
-def _vectors(indexed: DataFrame, ids: tuple[str, ...]) -> DataFrame:
-    # Indexes go in as plain numbers: trees split on the rank of frequency, and maxBins need not cover the widest column.
-    slim = numeric(indexed.drop(*_present(indexed, CATEGORICAL)), except_for=ids)
+def _vectors(indexed: DataFrame, ids: tuple[str, ...], nominal: bool) -> DataFrame:
+    # Unless nominal, indexes go in as plain numbers: trees split on the rank of frequency, and maxBins need not cover
+    # the widest column. A cast drops the metadata that marks a column as nominal.
+    marked = [f"{c}_index" for c in _present(indexed, CATEGORICAL)] if nominal else []
+    slim = numeric(indexed.drop(*_present(indexed, CATEGORICAL)), except_for=(*ids, *marked))
     inputs = sorted(c for c in slim.columns if c != "label" and c.upper() not in {i.upper() for i in ids})
     # Missing values, and text such as inf or NaN that casts to no finite number, are -1, as in the missing-value rules.
-    slim = slim.withColumns({c: F.when(F.abs(F.col(f"`{c}`")) < float("inf"), F.col(f"`{c}`")).otherwise(-1.0) for c in inputs})
+    slim = slim.withColumns({c: F.when(F.abs(F.col(f"`{c}`")) < float("inf"), F.col(f"`{c}`")).otherwise(-1.0) for c in inputs if c not in marked})
     return VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep").transform(slim).select(*_present(slim, list(ids)), "label", "features")
 
 
-def fit_forest(train: DataFrame, *, trees: int = 50, depth: int = 20, bins: int = 1024, ids: tuple[str, ...] = (), seed: int = SEED):
-    """(indexer, forest) fitted on a prepared table; values unseen in training get an index of their own."""
+@dataclass
+class Forest:
+    """A fitted indexer and forest, and whether indexes are nominal to it."""
+
+    indexer: StringIndexerModel
+    model: RandomForestClassificationModel
+    nominal: bool
+
+
+def fit_forest(train: DataFrame, *, trees: int = 50, depth: int = 20, bins: int = 1024, ids: tuple[str, ...] = (), nominal: bool = False, seed: int = SEED) -> Forest:
+    """A forest for a prepared table; values unseen in training get an index of their own.
+
+    ``nominal`` keeps the indexed columns as categories, which is the better model
+    where they have few values; ``bins`` then grows to the widest of them.
+    """
     indexer = _indexer(train).fit(train)
-    forest = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=trees, maxDepth=depth, maxBins=bins, seed=seed)
-    return indexer, Pipeline(stages=[forest]).fit(_vectors(indexer.transform(train), ids))
+    widest = max((len(labels) for labels in indexer.labelsArray), default=0) + 1
+    forest = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=trees, maxDepth=depth, maxBins=max(bins, widest) if nominal else bins, seed=seed)
+    return Forest(indexer, forest.fit(_vectors(indexer.transform(train), ids, nominal)), nominal)
 
 
-def predict(model: tuple, rows: DataFrame, ids: tuple[str, ...] = ()) -> DataFrame:
-    indexer, forest = model
-    assert isinstance(forest, PipelineModel)
-    return forest.transform(_vectors(indexer.transform(rows), ids))
+def predict(forest: Forest, rows: DataFrame, ids: tuple[str, ...] = ()) -> DataFrame:
+    return forest.model.transform(_vectors(forest.indexer.transform(rows), ids, forest.nominal))
 
 
 def accuracy(predictions: DataFrame) -> float:

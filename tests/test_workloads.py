@@ -98,11 +98,12 @@ def test_features(spark):
     assert rows(features.distinct_counts(letters, ["x"])) == [("x", 4)] and features.largest_cardinality(letters, ["x"]) == 4
 
 
-def test_forest_learns_and_takes_unseen_values(spark):
+@pytest.mark.parametrize("nominal", [False, True])
+def test_forest_learns_and_takes_unseen_values(spark, nominal):
     data = [(i, "5" if i % 2 else "0", "odd" if i % 2 else "even", str(i % 7)) for i in range(300)]
     df = spark.createDataFrame(data, "id long, Agelaius_phoeniceus string, COUNTY string, EFFORT_DISTANCE_KM string").withColumns({"GROUP_ID": F.lit("?"), "PRIMARY_CHECKLIST_FLAG": F.lit("1"), "COUNT_TYPE": F.lit("P22")})
     train, test = forest.split(features.prepared(df), "id", 0.2)
-    model = forest.fit_forest(train, trees=5, depth=3, bins=16, ids=("id",))
+    model = forest.fit_forest(train, trees=5, depth=3, bins=16, nominal=nominal, ids=("id",))
     assert forest.accuracy(forest.predict(model, test, ids=("id",))) == 1.0
     unseen = features.prepared(df.withColumn("COUNTY", F.lit("elsewhere")))
     assert forest.predict(model, unseen, ids=("id",)).select("id", "prediction").count() == 300
