@@ -108,7 +108,9 @@ def _read_block(lines: pa.Array, options: dict) -> pa.Table | None:
 def parse_lines(lines: pa.Array) -> tuple[list[pa.Table], list[str | None]]:
     """Parsed blocks in the order of the lines (null fields where rejected), and a reason or None for each line."""
     blocks, reasons, options = [], [], _options()
-    plain = pc.fill_null(pc.match_substring_regex(lines, PLAIN), False)
+    # The reader takes a byte order mark at a block's start away: such lines are read strictly, which keeps it.
+    plain = pc.and_not(pc.match_substring_regex(lines, PLAIN), pc.starts_with(lines, "\ufeff"))
+    plain = pc.fill_null(plain, False)
     # A running count of lines that are not plain tells for any block at once whether the reader can split it.
     odd = np.concatenate(([0], np.cumsum(~plain.to_numpy(zero_copy_only=False))))
 

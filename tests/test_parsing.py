@@ -43,6 +43,12 @@ def test_line_breaks_and_marks_inside_lines_are_not_mistaken_for_records():
     assert judged(lines) == [None, "unclosed_quote", None, None, None, None, "null_line"]
 
 
+def test_a_byte_order_mark_stays_wherever_the_line_stands():
+    lines = ["\ufeff" + GOOD] + [GOOD] * 40 + ["\ufeff" + GOOD]
+    blocks, _ = parsing.parse_lines(pa.array(lines))
+    assert [v for v in pa.concat_tables(blocks)["SAMPLING_EVENT_ID0"].to_pylist() if v != "S1"] == ["\ufeffS1"] * 2
+
+
 def test_bisection_finds_each_bad_record_in_a_large_block():
     lines = [GOOD] * 5000
     for k in (0, 7, 2500, 4999):
