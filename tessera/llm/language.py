@@ -35,6 +35,8 @@ CODES = list(LANGUAGES)
 #: Bounds of the training sample: documents of each language, and sentences of each document.
 SAMPLE_DOCUMENTS, SAMPLE_SENTENCES = 250, 16
 STEPS = 2500
+#: Times each seed sentence counts.
+SEED_WEIGHT = 6
 #: Log-odds that a change of language between two sentences costs.
 CHANGE = 3.0
 #: A single sentence's evidence is bounded, so that one odd sentence makes no passage.
@@ -125,12 +127,10 @@ def train(labelled: list[tuple[str, str]], *, steps: int = STEPS, seed: int = 5)
         for a, b in spans:
             texts.append(prepared(text[a:b]))
             labels.append(CODES.index(code))
-    weight = np.bincount(np.array(labels, int), minlength=len(CODES)) if labels else np.zeros(len(CODES))
     for code, lines in SEEDS.items():
-        # Seeds carry a language that the sample lacks, and weigh little beside one it has.
-        for _ in range(1 if weight[CODES.index(code)] > 200 else 4):
-            texts += [prepared(line) for line in lines]
-            labels += [CODES.index(code)] * len(lines)
+        # The seeds carry a language that the sample lacks, and words beyond its domain for one it has.
+        texts += [prepared(line) for line in lines] * SEED_WEIGHT
+        labels += [CODES.index(code)] * (len(lines) * SEED_WEIGHT)
     plain = [t for t in texts if t]
     y_text = np.array([c for t, c in zip(texts, labels, strict=True) if t])
     varied, y_varied = list(plain), list(y_text)
