@@ -1,10 +1,12 @@
 """Filling fixed-capacity containers with documents: lexical retrieval packing.
 
-Documents are spread over shards of bounded size. A shard builds an inverted index
-with BM25 weights over its documents' token ids; for each seed document it returns
-the unused neighbours by score, which greedily fill the seed's container. A
-document longer than the capacity is cut into pieces of exactly the capacity,
-which are full containers, and one rest that is packed like any other document.
+The search covers all documents: their number, mean length and document frequencies
+are counted once over the whole table, and every document's best-scored neighbours
+by BM25 are looked up in every block of the inverted index. One pass for each
+capacity then takes the largest unused document as a seed and fills its container
+with the seed's unused neighbours, wherever they are stored. A document longer than
+the capacity is cut into pieces of exactly the capacity, which are full containers,
+and one rest that is packed like any other document.
 """
 
 from __future__ import annotations
@@ -14,132 +16,325 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import discard, staged
 from .tokens import encoder, vocabulary
 
-#: Characters of text for each shard, which bounds a task's memory and time.
+#: Characters of text for each block of the index, which bounds a task's memory.
 SHARD_CHARS = 1_500_000
+#: Postings of the index blocks that are sent to the workers at a time.
+SLAB_POSTINGS = 8_000_000
 K1, B = 1.2, 0.75
+#: Best-scored documents of the whole table that are kept for each document.
+NEIGHBOURS = 128
+#: So many of the commonest terms are scored by a matrix product, the others by their postings.
+HEAD = 1024
 #: A container counts as closed when at most this share of it is unused.
 CLOSED = 0.02
 #: Of so many best-scored neighbours that fit, the largest is taken.
 CHOICE = 8
-#: Containers of one shard and capacity are numbered below this.
-SHARD_SPAN = 1 << 24
+
+
+class Statistics:
+    """What BM25 needs to know of the whole collection: documents, mean length, document frequency by term id."""
+
+    def __init__(self, n: int, mean: float, df: np.ndarray):
+        self.n, self.mean = n, max(mean, 1.0)
+        self.idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
+        common = np.argsort(-df, kind="stable")[:HEAD]
+        self.head = np.full(len(df), -1, np.int64)
+        self.head[common] = np.arange(len(common))
+        self.width = len(common)
 
 
 class BM25Index:
-    """Inverted index over documents given as arrays of token ids."""
-
-    def __init__(self, documents: list[np.ndarray], k1: float = K1, b: float = B):
-        n = len(documents)
-        counted = [np.unique(d, return_counts=True) for d in documents]
-        self.terms = [t for t, _ in counted]
-        doc = np.repeat(np.arange(n), [len(t) for t in self.terms])
-        term = np.concatenate(self.terms) if n else np.empty(0, np.int64)
-        tf = np.concatenate([c for _, c in counted]).astype(np.float32) if n else np.empty(0, np.float32)
-        length = np.array([len(d) for d in documents], np.float32)
-        norm = k1 * (1 - b + b * length / max(length.mean(), 1.0)) if n else length
-        self.vocabulary, self.code = np.unique(term, return_inverse=True)
-        order = np.argsort(self.code, kind="stable")
-        self.start = np.concatenate(([0], np.cumsum(np.bincount(self.code, minlength=len(self.vocabulary))))).astype(np.int64)
-        df = np.diff(self.start)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
-        self.doc = doc[order]
-        self.weight = (idf[self.code] * tf * (k1 + 1) / (tf + norm[doc]))[order]
-        self.offset = np.concatenate(([0], np.cumsum([len(t) for t in self.terms]))).astype(np.int64)
-        self.size = n
+    """Inverted index over documents given as arrays of token ids, or as their distinct terms and counts.
+
+    Without ``statistics`` the documents are the whole collection.
+    """
+
+    def __init__(self, documents: list[np.ndarray] | None = None, k1: float = K1, b: float = B, *, counted: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None = None, statistics: Statistics | None = None):
+        self.length, self.offset, self.term, tf = counted if counted is not None else count_terms(documents)
+        n = self.size = len(self.length)
+        if statistics is None:
+            statistics = Statistics(n, float(self.length.mean()) if n else 0.0, np.bincount(self.term))
+        self.statistics = statistics
+        doc = np.repeat(np.arange(n), np.diff(self.offset))
+        norm = (k1 * (1 - b + b * self.length / statistics.mean)).astype(np.float32)
+        order = np.argsort(self.term, kind="stable")
+        self.doc, by_term = doc[order], self.term[order]
+        self.weight = (statistics.idf[self.term] * tf * (k1 + 1) / (tf + norm[doc])).astype(np.float32)[order]
+        self.vocabulary, first = np.unique(by_term, return_index=True)
+        self.start = np.append(first, len(by_term)).astype(np.int64)
+        at = statistics.head[by_term]
+        common = at >= 0
+        self.dense = np.zeros((statistics.width, n), np.float32)
+        self.dense[at[common], self.doc[common]] = self.weight[common]
+
+    def _sparse(self, row: np.ndarray, term: np.ndarray, rows: int) -> np.ndarray:
+        """Scores of every document by the postings of ``term``, summed for each ``row``."""
+        if not len(self.vocabulary):
+            return np.zeros((rows, self.size), np.float32)
+        at = np.minimum(np.searchsorted(self.vocabulary, term), len(self.vocabulary) - 1)
+        known = self.vocabulary[at] == term
+        row, at = row[known], at[known]
+        begin, count = self.start[at], self.start[at + 1] - self.start[at]
+        posting = np.arange(int(count.sum())) + np.repeat(begin - (np.cumsum(count) - count), count)
+        cell = np.repeat(row * self.size, count) + self.doc[posting]
+        return np.bincount(cell, weights=self.weight[posting], minlength=rows * self.size).reshape(rows, self.size)
 
     def scores(self, seed: int) -> np.ndarray:
         """BM25 of every document for the distinct terms of ``seed``."""
-        codes = self.code[self.offset[seed] : self.offset[seed + 1]]
-        begin, count = self.start[codes], self.start[codes + 1] - self.start[codes]
-        total = int(count.sum())
-        if not total:
-            return np.zeros(self.size, np.float32)
-        at = np.arange(total) + np.repeat(begin - np.concatenate(([0], np.cumsum(count)[:-1])), count)
-        return np.bincount(self.doc[at], weights=self.weight[at], minlength=self.size)
+        term = self.term[self.offset[seed] : self.offset[seed + 1]]
+        return self._sparse(np.zeros(len(term), np.int64), term, 1)[0]
 
+    def tile(self, offset: np.ndarray, term: np.ndarray) -> np.ndarray:
+        """BM25 of every document of this index (columns) for each query, given as distinct terms (rows)."""
+        rows = len(offset) - 1
+        row = np.repeat(np.arange(rows), np.diff(offset))
+        at = self.statistics.head[term]
+        common = at >= 0
+        query = np.zeros((rows, self.statistics.width), np.float32)
+        query[row[common], at[common]] = 1
+        scores = query @ self.dense
+        scores += self._sparse(row[~common], term[~common], rows)
+        return scores
 
-def pack_shard(sizes: np.ndarray, capacity: int, scores) -> list[list[int]]:
-    """Containers as lists of item numbers; every item of ``0 < size <= capacity`` in exactly one.
 
-    The largest unused item is the seed. Neighbours that close the container go
-    first, the best-scored of them; else the largest of the best-scored that fit.
-    """
-    sizes = np.asarray(sizes, np.int64)
-    unused = sizes > 0
-    by_size = np.argsort(-sizes, kind="stable")
-    count = np.bincount(np.where(unused, np.minimum(sizes, capacity), 0), minlength=capacity + 1)
-    count[0] = 0
-    smallest = 1
-    slack = int(capacity * CLOSED)
-    out = []
-    for seed in by_size:
-        if not unused[seed]:
-            continue
-        unused[seed] = False
-        count[sizes[seed]] -= 1
-        container, gap, score = [int(seed)], capacity - int(sizes[seed]), None
+def count_terms(documents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths, offsets, distinct terms and their counts of documents given as token ids."""
+    pairs = [np.unique(d, return_counts=True) for d in documents]
+    offset = np.concatenate(([0], np.cumsum([len(t) for t, _ in pairs]))).astype(np.int64)
+    joined = [np.concatenate(x).astype(np.int64) if pairs else np.empty(0, np.int64) for x in (zip(*pairs, strict=True) if pairs else ((), ()))]
+    return np.array([len(d) for d in documents], np.int64), offset, joined[0], joined[1]
+
+
+class Nearest:
+    """The ``k`` best-scored documents of each query, over any number of tiles."""
+
+    def __init__(self, number: np.ndarray, score: np.ndarray):
+        self.number, self.score = number, score
+
+    def take(self, scores: np.ndarray, first: int) -> None:
+        """Scores of the documents numbered from ``first`` on, for each query. Scores of 0 are no neighbours."""
+        k = self.number.shape[1]
+        if scores.shape[1] > k and not self.score.any():
+            best = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+            row = np.repeat(np.arange(len(best)), k)
+            column = best.ravel()
+            keep = scores[row, column] > 0
+            row, column = row[keep], column[keep]
+        else:
+            row, column = np.nonzero(scores > self.score[:, -1:])
+        if not len(row):
+            return
+        old, at = np.nonzero(self.number >= 0)
+        rows = np.concatenate([old, row])
+        number = np.concatenate([self.number[old, at], column + first])
+        score = np.concatenate([self.score[old, at], scores[row, column]])
+        order = np.lexsort((number, -score, rows))
+        rows, number, score = rows[order], number[order], score[order]
+        rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        keep = rank < k
+        self.number[rows[keep], rank[keep]] = number[keep]
+        self.score[rows[keep], rank[keep]] = score[keep]
+
+
+class Filler:
+    """The unused items of one capacity, by size, and the greedy choice among them."""
+
+    def __init__(self, sizes: np.ndarray, capacity: int):
+        self.sizes, self.capacity, self.slack = sizes, capacity, int(capacity * CLOSED)
+        self.unused = sizes > 0
+        self.count = np.bincount(sizes[self.unused], minlength=capacity + 1)
+        self.order = np.argsort(sizes, kind="stable")
+        #: End of each size's items in ``order`` not yet looked at from behind.
+        self.begin = np.searchsorted(sizes[self.order], np.arange(capacity + 2))
+        self.end = self.begin[1:].copy()
+        self.roomy = 2 * sizes[self.unused].mean() if self.unused.any() else 0
+        self.smallest = 1
+
+    def use(self, item: int) -> None:
+        self.unused[item] = False
+        self.count[self.sizes[item]] -= 1
+
+    def largest(self, gap: int) -> int:
+        """The largest unused item of at most ``gap``; there is one."""
+        low = gap
+        while not self.count[low]:
+            below = self.count[max(0, low - 256) : low]
+            found = np.flatnonzero(below)
+            low = max(0, low - 256) + int(found[-1]) if len(found) else low - 256
+        while not self.unused[self.order[self.end[low] - 1]]:
+            self.end[low] -= 1
+        return int(self.order[self.end[low] - 1])
+
+    def closable(self, gap: int) -> bool:
+        return gap <= self.slack or gap >= self.roomy or bool(self.count[max(1, gap - self.slack) : gap + 1].any())
+
+    def choose(self, near: np.ndarray, gap: int) -> int:
+        """A neighbour that closes the container, else the largest of the best-scored that fit and leave a gap some item closes, else the largest item of all."""
+        near = near[self.unused[near]]
+        size = self.sizes[near]
+        near, size = near[size <= gap], size[size <= gap]
+        closing = np.flatnonzero(size >= gap - self.slack)
+        if len(closing):
+            return int(near[closing[0]])
+        for at in np.argsort(-size[:CHOICE], kind="stable"):
+            if self.closable(gap - int(size[at])):
+                return int(near[at])
+        return self.largest(gap)
+
+    def container(self, seed: int, near: np.ndarray) -> list[int]:
+        """The container of an unused seed; ``near`` are its neighbours, best-scored first."""
+        self.use(seed)
+        container, gap = [seed], self.capacity - int(self.sizes[seed])
         while True:
-            while smallest <= capacity and not count[smallest]:
-                smallest += 1
-            if gap < smallest:
-                break
-            fits = np.flatnonzero(unused & (sizes <= gap))
-            if not len(fits):
-                break
-            if score is None:
-                score = scores(int(seed))
-            own = score[fits]
-            closing = sizes[fits] >= gap - slack
-            if closing.any():
-                fits, own = fits[closing], own[closing]
-                pick = fits[np.argmax(own)]
-            elif len(fits) > CHOICE:
-                best = np.argpartition(-own, CHOICE)[:CHOICE]
-                pick = fits[best[np.argmax(sizes[fits[best]])]]
-            else:
-                pick = fits[np.argmax(sizes[fits])]
-            unused[pick] = False
-            count[sizes[pick]] -= 1
-            container.append(int(pick))
-            gap -= int(sizes[pick])
-        out.append(container)
-    return out
-
-
-_PLACES = "capacity_id int, container_id long, slot int, doc_id {id}, piece_no int, token_start long, n_tokens long"
-
-
-def _shard(ranks, capacities: list[tuple[int, int]], schema: pa.Schema):
+            while self.smallest <= self.capacity and not self.count[self.smallest]:
+                self.smallest += 1
+            if gap < self.smallest:
+                return container
+            pick = self.choose(near, gap)
+            self.use(pick)
+            container.append(pick)
+            gap -= int(self.sizes[pick])
+
+
+def pack_shard(sizes: np.ndarray, capacity: int, scores) -> list[list[int]]:
+    """Containers as lists of item numbers; every item of ``0 < size <= capacity`` in exactly one. ``scores`` ranks all items for a seed."""
+    sizes = np.asarray(sizes, np.int64)
+    filler = Filler(sizes, capacity)
+    return [filler.container(int(s), np.argsort(-scores(int(s)), kind="stable")) for s in np.argsort(-sizes, kind="stable") if filler.unused[s]]
+
+
+def _count(ranks):
     def run(table: pa.Table) -> pa.Table:
         encode = encoder(ranks.value).encode_ordinary
-        order = np.argsort(table["h"].to_numpy(), kind="stable")
-        table = table.take(pa.array(order))
-        documents = [np.array(encode(t), np.int64) if t else np.empty(0, np.int64) for t in table["text"].to_pylist()]
-        shard = int(table["shard"][0].as_py())
-        length = np.array([len(d) for d in documents], np.int64)
-        index = BM25Index(documents)
-        rows: list[list[np.ndarray]] = []
-        for capacity_id, capacity in capacities:
-            first = shard * SHARD_SPAN
-            whole = length // capacity
-            rest = length - whole * capacity
-            doc = np.repeat(np.arange(len(documents)), whole)
-            piece = np.arange(len(doc)) - np.repeat(np.cumsum(whole) - whole, whole)
-            rows.append([np.full(len(doc), capacity_id), first + np.arange(len(doc)), np.zeros(len(doc), np.int64), doc, piece, piece * capacity, np.full(len(doc), capacity)])
-            containers = pack_shard(rest, capacity, index.scores)
-            doc = np.array([i for c in containers for i in c], np.int64)
-            number = np.repeat(np.arange(len(containers)), [len(c) for c in containers]) + int(whole.sum())
-            slot = np.array([k for c in containers for k in range(len(c))], np.int64)
-            rows.append([np.full(len(doc), capacity_id), first + number, slot, doc, whole[doc], whole[doc] * capacity, rest[doc]])
-            empty = np.flatnonzero(length == 0)
-            nowhere = np.full(len(empty), -1)
-            rows.append([np.full(len(empty), capacity_id), nowhere, nowhere, empty, np.zeros(len(empty), np.int64), np.zeros(len(empty), np.int64), np.zeros(len(empty), np.int64)])
-        capacity_id, container, slot, doc, piece, start, tokens = (np.concatenate(c).astype(np.int64) for c in zip(*rows, strict=True))
-        none = container < 0
-        arrays = [pa.array(capacity_id), pa.array(container, mask=none), pa.array(slot, mask=none), table["doc_id"].take(pa.array(doc)).combine_chunks(), pa.array(piece), pa.array(start), pa.array(tokens)]
-        return pa.table([a.chunk(0) if isinstance(a, pa.ChunkedArray) and a.num_chunks == 1 else a for a in arrays], names=schema.names).cast(schema)
+        table = table.take(pa.array(np.argsort(table["h"].to_numpy(), kind="stable")))
+        length, offset, term, tf = count_terms([np.array(encode(t), np.int64) if t else np.empty(0, np.int64) for t in table["text"].to_pylist()])
+        cut = [(int(a), int(b)) for a, b in zip(offset[:-1], offset[1:], strict=True)]
+        term, tf = term.astype(np.int32), tf.astype(np.int32)
+        doc_id = table["doc_id"].combine_chunks()
+        doc_id = doc_id.chunk(0) if isinstance(doc_id, pa.ChunkedArray) else doc_id
+        return pa.table({"block": table["shard"], "pos": pa.array(np.arange(len(length), dtype=np.int32)), "doc_id": doc_id, "n": pa.array(length), "terms": pa.array([term[a:b].tobytes() for a, b in cut], pa.binary()), "tfs": pa.array([tf[a:b].tobytes() for a, b in cut], pa.binary())})
+
+    return run
+
+
+def _frequencies(batches):
+    total = np.zeros(0, np.int64)
+    for batch in batches:
+        own = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int32), minlength=len(total))
+        own[: len(total)] += total
+        total = own
+    term = np.flatnonzero(total)
+    yield pa.record_batch([pa.array(term), pa.array(total[term])], names=["term", "df"])
+
+
+def _block(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths, offsets, terms and counts of a block's rows in the order of pos."""
+    terms = table["terms"].to_pylist()
+    offset = np.concatenate(([0], np.cumsum([len(t) // 4 for t in terms]))).astype(np.int64)
+    return table["n"].to_numpy().astype(np.int64), offset, np.frombuffer(b"".join(terms), np.int32).astype(np.int64), np.frombuffer(b"".join(table["tfs"].to_pylist()), np.int32).astype(np.int64)
+
+
+def _search(slab, statistics, first: dict[int, int], k: int):
+    """Neighbours of a block's documents in the index blocks of ``slab``, merged with those found before."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("pos")
+        _, offset, term, _ = _block(table)
+        n = table.num_rows
+        own = first[int(table["block"][0].as_py())]
+        before = table["near"].to_pylist()
+        nearest = Nearest(np.full((n, k), -1, np.int32), np.zeros((n, k), np.float32))
+        for i, (ids, scores) in enumerate(zip(before, table["near_scores"].to_pylist(), strict=True)):
+            if ids:
+                ids = np.frombuffer(ids, np.int32)
+                nearest.number[i, : len(ids)], nearest.score[i, : len(ids)] = ids, np.frombuffer(scores, np.float32)
+        for at, *counted in slab.value:
+            tile = BM25Index(counted=tuple(x.astype(np.int64) for x in counted), statistics=statistics.value).tile(offset, term)
+            if at == own:
+                np.fill_diagonal(tile, 0)
+            nearest.take(tile, at)
+        found = (nearest.number >= 0).sum(axis=1)
+        for name, values in (("near", nearest.number), ("near_scores", nearest.score)):
+            table = table.set_column(table.schema.get_field_index(name), name, pa.array([v[:f].tobytes() for v, f in zip(values, found, strict=True)], pa.binary()))
+        return table
+
+    return run
+
+
+def neighbours(counted: DataFrame, k: int = NEIGHBOURS, slab_postings: int = SLAB_POSTINGS) -> tuple[DataFrame, dict[int, int]]:
+    """``counted`` with near, the numbers of each document's ``k`` best-scored documents of the whole table, and the number of each block's first document.
+
+    Every block is compared with every index block, so the time grows with the
+    square of the documents; memory and disk do not.
+    """
+    spark = counted.sparkSession
+    sizes = sorted((r[0], r[1], r[2], r[3]) for r in counted.groupBy("block").agg(F.count("*"), F.sum("n"), F.sum(F.length("terms"))).collect())
+    first, slabs, n, held = {}, [[]], 0, 0
+    for block, rows, _, size in sizes:
+        first[block] = n
+        n += rows
+        if slabs[-1] and held + size // 4 > slab_postings:
+            slabs.append([])
+            held = 0
+        slabs[-1].append(block)
+        held += size // 4
+    found = counted.select("terms").mapInArrow(_frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    terms = found["term"].to_numpy()
+    df = np.zeros(int(terms.max()) + 1 if len(terms) else 1, np.int64)
+    df[terms] = found["df"].to_numpy()
+    statistics = spark.sparkContext.broadcast(Statistics(n, sum(s[2] for s in sizes) / max(n, 1), df))
+    state = counted.withColumns({"near": F.lit(None).cast("binary"), "near_scores": F.lit(None).cast("binary")})
+    for k_th, blocks in enumerate(slabs):
+        rows = counted.filter(F.col("block").between(blocks[0], blocks[-1]) if blocks else F.lit(False)).select("block", "pos", "n", "terms", "tfs").toArrow().sort_by([("block", "ascending"), ("pos", "ascending")])
+        ends = np.append(np.flatnonzero(np.diff(rows["block"].to_numpy())) + 1, rows.num_rows) if rows.num_rows else []
+        parts = [rows.slice(a, b - a) for a, b in zip([0, *ends[:-1]], ends, strict=True)] if len(ends) else []
+        slab = spark.sparkContext.broadcast([(first[p["block"][0].as_py()], *(x.astype(np.int32) for x in _block(p))) for p in parts])
+        found = staged(state.repartition(max(1, len(sizes)), "block").groupBy("block").applyInArrow(_search(slab, statistics, first, k), state.schema))
+        slab.destroy()
+        if k_th:
+            discard(state)
+        state = found
+    return state, first
+
+
+_PLACES = "capacity_id int, container_id long, slot int, number long, piece_no int, token_start long, n_tokens long"
+
+
+def _fill():
+    """Places for each capacity, from rows in the order of capacity: first the sizes of all documents, then the documents with their neighbours, largest rest first."""
+
+    def run(batches):
+        current = filler = None
+        lengths: list[tuple[int, np.ndarray]] = []
+        number = 0
+        for batch in batches:
+            out: list[tuple[int, ...]] = []
+            for capacity_id, capacity, seed, sizes, near in zip(*(batch.column(c).to_pylist() for c in ("capacity_id", "capacity", "number", "sizes", "near")), strict=True):
+                if (capacity_id, capacity) != current:
+                    current, filler, lengths, number = (capacity_id, capacity), None, [], 0
+                if sizes is not None:
+                    lengths.append((seed, np.array(sizes, np.int64)))
+                    continue
+                if filler is None:
+                    length = np.concatenate([x for _, x in sorted(lengths, key=lambda p: p[0])])
+                    filler = Filler(length % capacity, capacity)
+                whole = int(length[seed]) // capacity
+                for piece in range(whole):
+                    out.append((capacity_id, number, 0, seed, piece, piece * capacity, capacity))
+                    number += 1
+                if not length[seed]:
+                    out.append((capacity_id, None, None, seed, 0, 0, 0))
+                if filler.unused[seed]:
+                    for slot, item in enumerate(filler.container(seed, np.frombuffer(near or b"", np.int32))):
+                        start = int(length[item]) // capacity * capacity
+                        out.append((capacity_id, number, slot, item, start // capacity, start, int(length[item]) - start))
+                    number += 1
+            if out:
+                kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[f.split()[0] for f in _PLACES.split(", ")])
 
     return run
 
@@ -154,20 +349,28 @@ def pack_documents(documents: DataFrame, capacities: DataFrame, *, id_col: str =
     gives an empty result.
     """
     from pyspark.sql import types as T
-    from pyspark.sql.pandas.types import to_arrow_schema
 
     spark = documents.sparkSession
     wanted = sorted({(int(r[0]), int(r[1])) for r in capacities.select("capacity_id", "capacity_tokens").collect() if r[0] is not None and r[1] is not None and r[1] > 0})
     chars = documents.agg(F.sum(F.length(text_col))).first()[0] or 0
     shards = max(1, -(-chars // shard_chars))
-    schema = T.StructType(
-        [T.StructField("capacity_id", T.IntegerType()), T.StructField("container_id", T.LongType()), T.StructField("slot", T.IntegerType()), T.StructField("doc_id", documents.schema[id_col].dataType), T.StructField("piece_no", T.IntegerType()), T.StructField("token_start", T.LongType()), T.StructField("n_tokens", T.LongType())]
-    )
+    kind = documents.schema[id_col].dataType
     if not wanted:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], T.StructType([T.StructField("doc_id", kind) if f.name == "number" else f for f in T.StructType.fromDDL(_PLACES)]))
     rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("h", F.xxhash64("doc_id", "text"))
-    spread = rows.withColumn("shard", F.pmod("h", F.lit(shards)))
-    return spread.groupBy("shard").applyInArrow(_shard(vocabulary(spark, tokenizer_dir), wanted, to_arrow_schema(schema)), schema)
+    spread = rows.withColumn("shard", F.pmod("h", F.lit(shards)).cast("long"))
+    counted = T.StructType([T.StructField("block", T.LongType()), T.StructField("pos", T.IntegerType()), T.StructField("doc_id", kind), T.StructField("n", T.LongType()), T.StructField("terms", T.BinaryType()), T.StructField("tfs", T.BinaryType())])
+    found, first = neighbours(staged(spread.groupBy("shard").applyInArrow(_count(vocabulary(spark, tokenizer_dir)), counted)))
+    starts = spark.createDataFrame(sorted(first.items()), "block long, first long")
+    numbered = found.join(starts, "block").select("block", "pos", "doc_id", "n", "near", (F.col("first") + F.col("pos")).alias("number"))
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("capacity_id"), F.lit(c).alias("capacity")) for i, c in wanted))).alias("c")
+    sizes = numbered.groupBy("block").agg(F.min("number").alias("number"), F.transform(F.sort_array(F.collect_list(F.struct("pos", "n"))), lambda x: x["n"]).alias("sizes"))
+    known = sizes.select(each, "number", "sizes").select("c.*", F.lit(-1).cast("long").alias("rest"), "number", "sizes", F.lit(None).cast("binary").alias("near"))
+    seeds = numbered.select(each, "number", "n", "near").select("c.*", (F.col("n") % F.col("c.capacity")).cast("long").alias("rest"), "number", F.lit(None).cast("array<bigint>").alias("sizes"), "near")
+    queue = known.unionByName(seeds).repartition(len(wanted), "capacity_id", "capacity")
+    queue = queue.sortWithinPartitions("capacity_id", "capacity", F.col("rest") >= 0, F.col("rest").desc(), "number")
+    places = queue.mapInArrow(_fill(), _PLACES)
+    return places.join(numbered.select("number", "doc_id"), "number").select("capacity_id", "container_id", "slot", "doc_id", "piece_no", "token_start", "n_tokens")
 
 
 def fill_report(places: DataFrame, capacities: DataFrame) -> DataFrame:

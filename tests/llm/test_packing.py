@@ -94,3 +94,26 @@ def test_token_counts_of_whole_texts(spark):
     df = spark.createDataFrame([("a b c",), ("",), (None,), ("x y " * 20_000,)], "text string")
     assert [r["n"] for r in with_token_counts(df, "text", "n").collect()][:3] == [3, 0, 0]
     assert with_token_counts(df, "text", "n").agg({"n": "max"}).first()[0] >= 40_000
+
+
+def test_neighbours_are_those_of_the_whole_table(spark):
+    """However many blocks the documents lie in, and slabs they are sent in, each one's neighbours are the best of all."""
+    texts = [r["text"] for r in spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").select("text").collect() if r["text"]]
+    ranks = vocabulary(spark)
+    encode = encoder(ranks.value).encode_ordinary
+    docs = [np.array(encode(t), np.int64) for t in texts]
+    length, offset, term, tf = packing.count_terms(docs)
+    data = [(i % 7, i // 7, i, int(length[i]), term[offset[i] : offset[i + 1]].astype(np.int32).tobytes(), tf[offset[i] : offset[i + 1]].astype(np.int32).tobytes()) for i in range(len(docs))]
+    counted = spark.createDataFrame(data, "block long, pos int, doc_id long, n long, terms binary, tfs binary")
+    found, first = packing.neighbours(counted, k=10, slab_postings=3000)
+    rows = found.collect()
+    original = {first[r["block"]] + r["pos"]: r["doc_id"] for r in rows}
+    whole = packing.BM25Index(docs)
+    crossed = 0
+    for r in rows:
+        want = whole.scores(r["doc_id"])
+        want[r["doc_id"]] = 0
+        near = [original[i] for i in np.frombuffer(r["near"], np.int32)]
+        assert np.allclose(want[near], np.sort(want)[::-1][:10], rtol=1e-4)
+        crossed += sum(i % 7 != r["block"] for i in near)
+    assert crossed > len(docs)
