@@ -182,21 +182,17 @@ def frequency_index(spark: SparkSession, d: str) -> DataFrame:
     return features.frequency_index(table(spark, d, "checklists"), [c.lower() for c in features.CATEGORICAL])
 
 
-#: Size of the forest in the queries; the operator's defaults are 50 trees of depth 20 with 1024 bins.
-FOREST = {"trees": 20, "depth": 8, "bins": 256}
-
-
 def forest_accuracy(spark: SparkSession, d: str) -> DataFrame:
     rows = staged(_features(spark, d))
     train, test = forest.split(rows, "row_id", 0.05)
-    model = forest.fit_forest(train, ids=_KEEP, **FOREST)
+    model = forest.fit_forest(train, ids=_KEEP)
     value = forest.accuracy(forest.predict(model, test, ids=_KEEP)) if not test.isEmpty() else None
     return spark.createDataFrame([(value, None if value is None else 1 - value)], "accuracy double, error double")
 
 
 def forest_predictions(spark: SparkSession, d: str) -> DataFrame:
     rows = staged(_features(spark, d))
-    model = forest.fit_forest(forest.split(rows, "row_id", 0.05)[0], ids=_KEEP, **FOREST)
+    model = forest.fit_forest(forest.split(rows, "row_id", 0.05)[0], ids=_KEEP)
     return forest.predict(model, rows, ids=_KEEP).select("sampling_event_id0", "prediction")
 
 

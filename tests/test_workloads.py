@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import climate, features, forest, graph, links, numbering, words
+from tessera.plans import workloads
 from tessera.plans.workloads import _PAGES
 from tessera.sources import readers, sinks
-from tests.conftest import rows
+from tests.conftest import DATA, rows
 
 OBS = "obs_id long, station string, obs_date string, elem string, reading double, year string"
 
@@ -109,6 +110,16 @@ def test_forest_learns_and_takes_unseen_values(spark, nominal):
     assert forest.predict(model, unseen, ids=("id",)).select("id", "prediction").count() == 300
 
 
+def test_forest_queries_use_the_full_setting(spark, monkeypatch):
+    """50 trees of depth 20 with 1024 bins, as in the reference."""
+    fitted, fit = [], forest.fit_forest
+    monkeypatch.setattr(forest, "fit_forest", lambda *args, **how: fitted.append(fit(*args, **how)) or fitted[-1])
+    for query in (workloads.forest_accuracy, workloads.forest_predictions):
+        assert query(spark, f"{DATA}/sf0.001").count() > 0
+        model = fitted[-1].model
+        assert (model.getNumTrees, model.getOrDefault("maxDepth"), model.getOrDefault("maxBins")) == (50, 20, 1024)
+
+
 def test_text_sources_and_sinks(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.txt.gz").write_bytes(gzip.compress(b"one\ttwo|three\n"))
