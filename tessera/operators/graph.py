@@ -138,8 +138,10 @@ def named(values: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def matrix_cells(stored: DataFrame, *, key: str = "cell_id") -> DataFrame:
-    """(i, j, v) of a stored sparse matrix: cells delivered again count once, cells without a row or column are none."""
-    return stored.filter("i is not null and j is not null").select(key, "i", "j", "v").dropDuplicates([key]).select("i", "j", "v")
+    """(i, j, v) of a stored sparse matrix: cells delivered again count once, cells without a row or column are none. Cells without a key all stay."""
+    cells = stored.filter("i is not null and j is not null").select(key, "i", "j", "v")
+    keyed = F.col(key).isNotNull()
+    return cells.filter(keyed).dropDuplicates([key]).unionByName(cells.filter(~keyed)).select("i", "j", "v")
 
 
 def uniform_vector(index: DataFrame, idx: Column) -> tuple[DataFrame, int]:

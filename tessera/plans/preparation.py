@@ -58,9 +58,10 @@ def p4_links(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_position_quantiles(spark: SparkSession, d: str) -> DataFrame:
-    """Exact quartiles of the link position for every target page, each link once."""
-    edges = table(spark, d, "edges").dropDuplicates(["edge_id"])
-    named = edges.select(selection.blank_to_null(selection.page_name(F.col("dst"))).alias("page_name"), "link_pos").filter("page_name is not null")
+    """Exact quartiles of the link position for every target page, each link once. Rows without an edge_id all stay."""
+    edges = table(spark, d, "edges").select("edge_id", "dst", "link_pos")
+    once = edges.filter("edge_id is not null").dropDuplicates(["edge_id"]).unionByName(edges.filter("edge_id is null"))
+    named = once.select(selection.blank_to_null(selection.page_name(F.col("dst"))).alias("page_name"), "link_pos").filter("page_name is not null")
     return selection.exact_quantiles(named, "page_name", "link_pos", [0.25, 0.5, 0.75]).select("page_name", "fraction", F.col("value").alias("link_pos"), "n")
 
 

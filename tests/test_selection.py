@@ -4,7 +4,8 @@ from collections import Counter
 
 import pytest
 
-from tessera.operators import selection
+from tessera.operators import graph, selection
+from tessera.plans import preparation
 from tests.conftest import rows
 
 
@@ -47,3 +48,11 @@ def test_empty_tables(spark):
     assert selection.hot_pages(df).count() == 0 and selection.page_links(df).count() == 0
     nothing = spark.createDataFrame([(None, None, None, None)], EDGES)
     assert selection.hot_pages(nothing).count() == 0 and selection.page_links(nothing).count() == 0
+
+
+def test_rows_without_a_key_all_stay(spark, tmp_path):
+    edges = [(1, "A", 1), (1, "A", 1), (None, "A", 3), (None, "A", 5), (None, "A", 7)]
+    spark.createDataFrame(edges, "edge_id long, dst string, link_pos int").write.parquet(str(tmp_path / "edges.parquet"))
+    assert {r["n"] for r in preparation.p4_position_quantiles(spark, str(tmp_path)).collect()} == {4}
+    cells = spark.createDataFrame([(1, 0, 1, 0.5), (1, 0, 1, 0.5), (None, 0, 2, 0.25), (None, 1, 2, 0.75)], "cell_id long, i long, j long, v double")
+    assert rows(graph.matrix_cells(cells)) == [(0, 1, 0.5), (0, 2, 0.25), (1, 2, 0.75)]
