@@ -67,14 +67,28 @@ def p4_position_quantiles(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_rejects, p1_records, p2_found, p2_report, p3_found, p3_filled, p4_found, p4_links, p4_position_quantiles)}
 
-# A line as one regular expression: fields that begin with a quote end at the first
-# undoubled quote before a comma or the end, no other field holds a quote.
-_FIELD = r'(?:[^",][^",]*|"(?:[^"]|""|"[^",])*"|)'
-_VALID = (
-    "^" + f"{_FIELD}," * 8
-    + r'(?:P20|P21|P22|P23|P34|P35|P48|"P20"|"P21"|"P22"|"P23"|"P34"|"P35"|"P48"),' + f"{_FIELD}," * 4
-    + r'(?:X|\?|[0-9]+|"X"|"\?"|"[0-9]+"),' + _FIELD + "$"
-)
+# A line cut at its quotes: the parts with an even number (from 1) stand inside of quotes, an empty part between two of
+# them is a doubled quote. Parts outside must begin and end with a comma where a quote stands next to them.
+_LINES = r"""
+q AS (SELECT line_id, raw_line, string_split(raw_line, '"') AS p FROM raw_checklists),
+w AS (SELECT line_id, raw_line, len(p) AS n,
+    list_filter(list_transform(p, lambda x, i: CASE WHEN i % 2 = 0 OR x = '' THEN NULL
+      WHEN i > 1 AND x[1] <> ',' THEN 'text_after_quote' WHEN i < len(p) AND x[-1] <> ',' THEN 'stray_quote' END), lambda v: v IS NOT NULL) AS faults,
+    string_split(array_to_string(list_transform(p, lambda x, i: CASE WHEN i % 2 = 0 THEN replace(x, ',', chr(1)) ELSE x END), '"'), ',') AS masked
+  FROM q),
+f AS (SELECT line_id, raw_line, n, faults, list_transform(masked, lambda m: replace(replace(CASE WHEN m[1] = '"' THEN m[2:-2] ELSE m END, chr(1), ','), '""', '"')) AS v FROM w),
+judged AS (SELECT line_id, v, CASE WHEN raw_line IS NULL THEN 'null_line' WHEN len(faults) > 0 THEN faults[1] WHEN n % 2 = 0 THEN 'unclosed_quote'
+    WHEN trim(raw_line, chr(9) || chr(10) || chr(13) || ' ') = '' THEN 'empty_line' WHEN len(v) < 15 THEN 'too_few_fields' WHEN len(v) > 15 THEN 'too_many_fields'
+    WHEN v[9] NOT IN ('P20', 'P21', 'P22', 'P23', 'P34', 'P35', 'P48') THEN 'bad_count_type'
+    WHEN NOT (v[14] IN ('X', '?') OR regexp_full_match(v[14], '[0-9]+')) THEN 'bad_agelaius_phoeniceus' END AS reject_reason FROM f)"""
+
+
+def _typed(number: int, name: str) -> str:
+    name = name.lower()
+    kind, form = {"int": ("INT", r"[+-]?[0-9]+"), "double": ("DOUBLE", r"[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?")}.get(parsing.TYPED.get(name.upper(), ""), (None, None))
+    return f"CASE WHEN regexp_full_match(trim(v[{number}]), '{form}') THEN TRY_CAST(trim(v[{number}]) AS {kind}) END AS {name}" if kind else f"v[{number}] AS {name}"
+
+
 _REF = "trim(url_decode({0}), ' ' || chr(9))"
 _REFS = f"""
 refs AS (
@@ -139,7 +153,9 @@ ends AS (SELECT 'src' end_col, src page_name FROM once WHERE src IS NOT NULL UNI
 hot AS (SELECT end_col, page_name FROM ends GROUP BY 1, 2 HAVING count(*) * 50 >= (SELECT count(*) FROM ends e WHERE e.end_col = ends.end_col))"""
 
 ORACLE = {
-    "p1_found": f"SELECT DISTINCT line_id FROM raw_checklists WHERE NOT coalesce(regexp_matches(raw_line, '{_VALID}'), false)",
+    "p1_found": f"WITH {_LINES} SELECT DISTINCT line_id FROM judged WHERE reject_reason IS NOT NULL",
+    "p1_rejects": f"WITH {_LINES} SELECT line_id, reject_reason FROM judged WHERE reject_reason IS NOT NULL",
+    "p1_records": f"WITH {_LINES} SELECT line_id, {', '.join(_typed(k, n) for k, n in enumerate(parsing.FIELDS, 1))} FROM judged WHERE reject_reason IS NULL",
     "p2_found": f"WITH {_REFS} SELECT DISTINCT ref_table, ref_id, ref_field, ref_key FROM orphans",
     "p2_report": f"WITH {_REFS} SELECT ref_table, ref_field, strftime(t, '%Y-%m') AS month, count(DISTINCT (ref_id, ref_key)) AS orphan_references, count(DISTINCT ref_key) AS orphan_keys FROM orphans GROUP BY 1, 2, 3",
     "p3_found": f"WITH {_CLEAN},{_FILLS} SELECT row_id, field_name FROM f1 UNION SELECT row_id, field_name FROM f2 UNION SELECT row_id, field_name FROM f3 UNION SELECT row_id, field_name FROM f4",
