@@ -31,7 +31,7 @@ def word_count(spark: SparkSession, source: str, target: str) -> None:
 def adjacency(spark: SparkSession, source: str, target: str) -> None:
     """``page TAB e1|e2`` of wiki lines ``name:html``, for every page and every page linked to."""
     lists = staged(links.extract_links(readers.text_lines(spark, source)))
-    sinks.tab_text(graph.adjacency(staged(graph.merged(graph.from_lists(lists))), pages=lists), target, ["page", "links"])
+    sinks.tab_text(graph.listed(lists), target, ["page", "links"])
 
 
 def matrix(spark: SparkSession, source: str, target: str) -> None:

@@ -10,13 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import staged
+from ..session import discard, staged
+from .numbering import dense_numbers
 
 ALPHA = 0.15
-#: The most links in one row of the adjacency list; longer lists come in parts.
-LIST_LIMIT = 10_000
-#: The most nodes whose rank vector is broadcast on request (about 16 bytes each).
-BROADCAST_NODES = 5_000_000
+#: The most bytes of a rank vector that is broadcast on request: names or numbers, and 24 bytes for each.
+BROADCAST_BYTES = 128 * 2**20
 
 
 def from_lists(lists: DataFrame) -> DataFrame:
@@ -60,25 +59,40 @@ def transition_matrix(edges: DataFrame, index: DataFrame | None = None, *, padde
     return cells
 
 
-def adjacency(edges: DataFrame, limit: int = LIST_LIMIT, pages: DataFrame | None = None) -> DataFrame:
-    """(page, part, links): the links of each page in name order, joined by ``|``, empty for a dangling page.
+def adjacency(links: DataFrame, *, order: list[str] = (), pages: DataFrame | None = None) -> DataFrame:
+    """(page, links): one row for each page, its links joined by ``|`` in the order of the columns ``order`` and then by name; empty for a page without links.
 
-    Pages with more than ``limit`` links have several parts, by a hash of the target:
-    no row, and no task, has to hold all links of a hot page.
+    ``links`` has a row for each link (src, dst), repeated ones included; rows
+    without both ends are none. The format holds a page's links in one row, so a row
+    is as long as its page has links; ``links`` itself is the form that no hot page
+    burdens.
     """
-    size = out_degrees(edges).withColumn("parts", F.ceil(F.col("degree") / limit))
-    runs = edges.select("src", "dst", "links", F.explode(F.sequence(F.lit(0), F.floor((F.col("links") - 1) / limit))).alias("run"))
-    runs = runs.select("src", "dst", "run", F.least(F.lit(limit), F.col("links") - F.col("run") * limit).cast("int").alias("times"))
-    split = runs.join(size, "src").withColumn("part", F.pmod(F.xxhash64("dst", "run"), F.col("parts")))
-    lists = split.groupBy(F.col("src").alias("page"), "part").agg(F.array_sort(F.flatten(F.collect_list(F.array_repeat("dst", F.col("times"))))).alias("l"))
-    full = lists.select("page", F.col("part").cast("int").alias("part"), F.array_join("l", "|").alias("links"))
-    return full.unionByName(dangling(edges, pages).select(F.col("node").alias("page"), F.lit(0).alias("part"), F.lit("").alias("links")))
+    whole = links.filter("src is not null and dst is not null")
+    keys = F.struct(*(F.col(c) for c in order), F.col("dst"))
+    lists = whole.groupBy(F.col("src").alias("page")).agg(F.array_sort(F.collect_list(keys)).alias("l"))
+    return lists.select("page", F.array_join(F.transform("l", lambda x: x["dst"]), "|").alias("links")).unionByName(_bare(whole, pages))
+
+
+def _bare(links: DataFrame, pages: DataFrame | None) -> DataFrame:
+    return dangling(links, pages).select(F.col("node").alias("page"), F.lit("").alias("links"))
+
+
+def listed(lists: DataFrame) -> DataFrame:
+    """(page, links) of pages whose links are arrays already, in their order; several rows of a page in one, a page without links empty."""
+    one = lists.filter("page is not null and size(links) > 0").groupBy("page").agg(F.array_join(F.flatten(F.array_sort(F.collect_list("links"))), "|").alias("links"))
+    return one.unionByName(_bare(from_lists(lists), lists))
+
+
+def broadcast_fits(values: DataFrame, column: str) -> bool:
+    """Whether a vector over ``column`` is below BROADCAST_BYTES; one aggregate over it."""
+    size = values.agg(F.sum(F.coalesce(F.length(F.col(column).cast("string")), F.lit(0)) + 24)).first()[0] or 0
+    return size <= BROADCAST_BYTES
 
 
 def _joined(matrix: DataFrame, ranks: DataFrame, strategy: str) -> DataFrame:
-    """M and R brought together on M.j = R.node."""
+    """M and R brought together on M.j = R.node; ``broadcast`` only for a vector that ``broadcast_fits``."""
     r = ranks.select(F.col("node").alias("j"), F.col("rank"))
-    if strategy == "broadcast" and ranks.count() <= BROADCAST_NODES:
+    if strategy == "broadcast":
         r = F.broadcast(r)
     elif strategy == "shuffle":
         r = r.hint("merge")
@@ -94,13 +108,15 @@ def rank_step(matrix: DataFrame, ranks: DataFrame, n: int, *, alpha: float = ALP
     """One iteration over (node, rank, is_dangling).
 
     r'(i) = alpha/n + (1-alpha) * sum(M(i,j) r(j)) + d/n, with d the rank of the
-    dangling nodes before the step, damped by (1-alpha) on request.
+    dangling nodes before the step, damped by (1-alpha) on request. The mass is an
+    aggregate of one row inside the plan, so a step runs no job of its own.
     """
     n = max(n, 1)  # an empty graph has no rows to rank
-    mass = ranks.agg(F.sum(F.when(F.col("is_dangling"), F.col("rank")))).first()[0] or 0.0
-    spread = mass * ((1 - alpha) if damped else 1.0) / n
+    mass = ranks.agg(F.coalesce(F.sum(F.when(F.col("is_dangling"), F.col("rank"))), F.lit(0.0)).alias("mass"))
+    spread = F.col("mass") * ((1 - alpha) if damped else 1.0) / n
     sums = multiply(matrix, ranks, strategy).withColumnRenamed("rank", "sum")
-    return ranks.join(sums, "node", "left").select("node", (F.lit(alpha / n + spread) + (1 - alpha) * F.coalesce("sum", F.lit(0.0))).alias("rank"), "is_dangling")
+    joined = ranks.join(sums, "node", "left").join(F.broadcast(mass))  # a single row
+    return joined.select("node", (F.lit(alpha / n) + spread + (1 - alpha) * F.coalesce("sum", F.lit(0.0))).alias("rank"), "is_dangling")
 
 
 def initial_ranks(edges: DataFrame, pages: DataFrame | None = None) -> tuple[DataFrame, int]:
@@ -111,25 +127,38 @@ def initial_ranks(edges: DataFrame, pages: DataFrame | None = None) -> tuple[Dat
     return marked.select("node", F.lit(1.0 / n if n else 0.0).alias("rank"), "is_dangling"), n
 
 
-def pagerank(edges: DataFrame, *, pages: DataFrame | None = None, iterations: int = 10, alpha: float = ALPHA, damped: bool = False, strategy: str = "auto", tolerance: float | None = None, cut_every: int = 1) -> DataFrame:
+def pagerank(edges: DataFrame, *, pages: DataFrame | None = None, iterations: int = 10, alpha: float = ALPHA, damped: bool = False, strategy: str = "auto", tolerance: float | None = None, cut_every: int = 3) -> DataFrame:
     """(node, rank) after ``iterations``, or earlier once no rank moves by more than ``tolerance``.
 
-    Edges and matrix are built once and written; ranks are written every ``cut_every``
-    rounds, so the plan stays short and a lost executor costs one round.
+    Nodes get dense numbers first, so that rounds shuffle eight bytes a node and not
+    its name; names come back at the end. Edges and matrix are built once and
+    written; ranks are written every ``cut_every`` rounds, so the plan stays short
+    and a lost executor costs a few rounds. The strategy ``broadcast`` falls back to
+    Spark's choice for a vector beyond BROADCAST_BYTES.
     """
     edges = staged(edges)
-    matrix = staged(transition_matrix(edges))
-    ranks, n = initial_ranks(edges, pages)
+    names, n = initial_ranks(edges, pages)
+    index = staged(dense_numbers(names.select("node", "is_dangling"), [F.col("node").asc()]))
+    at = lambda name: index.select(F.col("node").alias(name), F.col("idx").alias(f"{name}_idx"))
+    numbered = edges.join(at("src"), "src").join(at("dst"), "dst").select(F.col("src_idx").alias("src"), F.col("dst_idx").alias("dst"), "links")
+    matrix = staged(transition_matrix(staged(numbered)))
+    ranks = index.select(F.col("idx").alias("node"), F.lit(1.0 / n if n else 0.0).alias("rank"), "is_dangling")
+    if strategy == "broadcast" and not broadcast_fits(ranks, "node"):
+        strategy = "auto"
+    written = None
     for done in range(1, iterations + 1):
         before = ranks
         ranks = rank_step(matrix, ranks, n, alpha=alpha, damped=damped, strategy=strategy)
-        if done % cut_every == 0 and done < iterations:
+        if done < iterations and (done % cut_every == 0 or tolerance is not None):
             ranks = staged(ranks)
+            if tolerance is None and written is not None:
+                discard(written)
+            written = ranks
         if tolerance is not None:
             moved = ranks.join(before.select("node", F.col("rank").alias("old")), "node").agg(F.max(F.abs(F.col("rank") - F.col("old")))).first()[0]
             if moved is None or moved <= tolerance:
                 break
-    return ranks.select("node", "rank")
+    return ranks.join(index.select(F.col("idx").alias("number"), F.col("node").alias("name")), F.col("node") == F.col("number")).select(F.col("name").alias("node"), "rank")
 
 
 def named(values: DataFrame, index: DataFrame) -> DataFrame:

@@ -16,6 +16,14 @@ from ..session import staged
 
 BITS = 16
 SHARE_UNIT = 1_000_000
+#: The most bytes of wanted bins that are broadcast as a filter; beyond it all counts are shuffled.
+BROADCAST_BYTES = 8 * 2**20
+
+
+def _fits(wanted: DataFrame) -> bool:
+    """Whether the wanted bins are small enough to be sent to every task."""
+    size = wanted.agg(F.sum(F.coalesce(F.length(F.col("wk").cast("string")), F.lit(0)) + 64)).first()[0] or 0
+    return size <= BROADCAST_BYTES
 
 
 def select_ranks(df: DataFrame, key: str, value: str, ranks: Column, *, least_run: Column | None = None) -> DataFrame:
@@ -47,8 +55,12 @@ def select_ranks(df: DataFrame, key: str, value: str, ranks: Column, *, least_ru
         if wanted is not None:
             narrow = wanted.select(F.col("k").alias("wk"), F.col("bin").alias("wbin"), "offset", "n", "targets")
             parent = F.shiftrightunsigned("bin", BITS)
-            bins = bins.withColumn("parent", parent).join(narrow, F.col("k").eqNullSafe(F.col("wk")) & (F.col("parent") == F.col("wbin")))
-            counts = bins.groupBy("k", "parent", "bin").agg(F.count("*").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.first("offset").alias("offset"), F.first("n").alias("n"), F.first("targets").alias("targets"))
+            on = F.col("k").eqNullSafe(F.col("wk")) & (parent == F.col("wbin"))
+            if _fits(narrow):
+                bins = bins.join(F.broadcast(narrow.select("wk", "wbin")), on, "left_semi")
+            # Counts first, rows of a hot key merged where they are read: only counts meet the wanted bins.
+            counts = bins.groupBy("k", "bin").agg(F.count("*").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+            counts = counts.join(narrow, on).select("k", parent.alias("parent"), "bin", "c", "lo", "hi", "offset", "n", "targets")
             order = Window.partitionBy("k", "parent").orderBy("bin")
         else:
             counts = bins.groupBy("k", "bin").agg(F.count("*").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
@@ -92,9 +104,9 @@ def frequent_values(df: DataFrame, key: str, value: str, share: float) -> DataFr
     return hit.filter(F.col("n_equal") * SHARE_UNIT >= F.col("n") * units).select(key, "value", "n_equal", "n").distinct()
 
 
-def unique_links(edges: DataFrame) -> DataFrame:
-    """Each link once: (src, dst) as compared, null where there is no name. Rows without an edge_id have nothing to compare and all stay."""
-    named = edges.select("edge_id", blank_to_null(page_name(F.col("src"))).alias("src"), blank_to_null(page_name(F.col("dst"))).alias("dst"))
+def unique_links(edges: DataFrame, *more: str) -> DataFrame:
+    """Each link once: (src, dst) as compared, and the columns ``more``; null where there is no name. Rows without an edge_id have nothing to compare and all stay."""
+    named = edges.select("edge_id", blank_to_null(page_name(F.col("src"))).alias("src"), blank_to_null(page_name(F.col("dst"))).alias("dst"), *more)
     return named.filter("edge_id is not null").dropDuplicates(["edge_id"]).unionByName(named.filter("edge_id is null"))
 
 

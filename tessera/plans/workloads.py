@@ -59,7 +59,8 @@ def node_count(spark: SparkSession, d: str) -> DataFrame:
 
 
 def adjacency_list(spark: SparkSession, d: str) -> DataFrame:
-    return graph.adjacency(staged(_edges(spark, d)))
+    """Every page and its links in their order on the page."""
+    return graph.adjacency(staged(unique_links(table(spark, d, "edges"), "link_pos")), order=["link_pos"])
 
 
 def out_degree(spark: SparkSession, d: str) -> DataFrame:
@@ -212,7 +213,7 @@ _YEARLY = f"""WITH {_READINGS}, y AS (
   SELECT station, year, avg(v) FILTER (WHERE elem = 'TMIN') lo, avg(v) FILTER (WHERE elem = 'TMAX') hi FROM r GROUP BY 1, 2)"""
 _WORDS = r"SELECT token, count(*) AS occurrences FROM (SELECT unnest(string_split_regex(text, '[ \t\n\r\f]+')) token FROM documents) WHERE token <> '' GROUP BY 1"
 _GRAPH = """
-once AS (SELECT DISTINCT ON (edge_id) edge_id, nullif(trim(url_decode(src), ' ' || chr(9)), '') src, nullif(trim(url_decode(dst), ' ' || chr(9)), '') dst FROM edges),
+once AS (SELECT DISTINCT ON (edge_id) edge_id, link_pos, nullif(trim(url_decode(src), ' ' || chr(9)), '') src, nullif(trim(url_decode(dst), ' ' || chr(9)), '') dst FROM edges),
 e AS (SELECT src, dst, count(*) links FROM once WHERE src IS NOT NULL AND dst IS NOT NULL GROUP BY 1, 2),
 nodes AS (SELECT src node FROM e UNION SELECT dst FROM e),
 idx AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS idx FROM nodes),
@@ -250,8 +251,8 @@ ORACLE = {
     "top_words": f"SELECT * FROM ({_WORDS}) ORDER BY occurrences DESC, token LIMIT 100",
     "node_index": f"WITH {_GRAPH} SELECT node, idx FROM idx",
     "node_count": f"WITH {_GRAPH} SELECT count(*) AS nodes FROM nodes",
-    "adjacency_list": f"""WITH {_GRAPH} SELECT src AS page, 0 AS part, string_agg(dst, '|' ORDER BY dst) AS links FROM once WHERE src IS NOT NULL AND dst IS NOT NULL GROUP BY 1
-      UNION ALL SELECT node, 0, '' FROM dang""",
+    "adjacency_list": f"""WITH {_GRAPH} SELECT src AS page, string_agg(dst, '|' ORDER BY link_pos NULLS FIRST, dst) AS links FROM once WHERE src IS NOT NULL AND dst IS NOT NULL GROUP BY 1
+      UNION ALL SELECT node, '' FROM dang""",
     "out_degree": f"WITH {_GRAPH} SELECT src, degree FROM deg",
     "dangling_nodes": f"WITH {_GRAPH} SELECT node FROM dang",
     "transition_matrix": f"""WITH {_GRAPH}, c AS (SELECT a.idx AS i, b.idx AS j, round(v, 9) AS v FROM cells JOIN idx a ON a.node = i JOIN idx b ON b.node = j)

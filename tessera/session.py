@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -30,14 +31,17 @@ def local_session(cores: int | str = 8, **conf: str) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where nothing names one (tests, one machine) is a temporary folder made
-    and set as the checkpoint directory.
+    Only where nothing names one and all tasks run on the driver's machine (tests) is
+    a temporary folder made and set as the checkpoint directory; on a cluster that
+    would be a folder that executors cannot share, so it is an error there.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir names no folder that the executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
     return context.getCheckpointDir().rstrip("/")
 

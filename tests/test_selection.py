@@ -29,6 +29,24 @@ def test_frequent_values_at_the_limit(spark, n, share):
     assert got == sorted(((v, c) for v, c in Counter(v for _, v in data).items() if c * 1_000_000 >= round(share * 1_000_000) * n), key=str)
 
 
+@pytest.mark.parametrize("limit", [selection.BROADCAST_BYTES, 0])
+def test_a_hot_key_in_one_prefix_sends_counts_in_the_second_round(spark, monkeypatch, limit):
+    """A third of the rows is one key whose values share all but their low 16 bits; an outlier forces two rounds."""
+    monkeypatch.setattr(selection, "BROADCAST_BYTES", limit)
+    df = spark.range(0, 90_000, 1, 6).selectExpr("if(id % 3 = 0, 'hot', concat('k', id % 100)) as k", "if(id = 3, 1L << 20, 5000 + id % 7) as v")
+    got = {(r["k"], r["fraction"]): (r["value"], r["n"]) for r in selection.exact_quantiles(df, "k", "v", [0.5, 1.0]).collect()}
+    values = sorted(1 << 20 if i == 3 else 5000 + i % 7 for i in range(0, 90_000, 3))
+    assert got["hot", 0.5] == (values[14_999], 30_000) and got["hot", 1.0] == (1 << 20, 30_000)
+    plans, staged = [], selection.staged
+    monkeypatch.setattr(selection, "staged", lambda d: plans.append(d) or staged(d))
+    selection.exact_quantiles(df, "k", "v", [0.5, 1.0]).count()
+    text = plans[1]._jdf.queryExecution().optimizedPlan().toString()
+    # Below the join with the wanted bins the rows are counts already, merged in the task that reads them.
+    assert len(plans) == 2 and "Aggregate" in text.split("Join Inner")[1]
+    counts = plans[1].groupBy("k").count().collect()
+    assert max(r["count"] for r in counts) <= 7
+
+
 EDGES = "edge_id long, src string, dst string, partner string"
 
 
