@@ -22,7 +22,7 @@ from .tokens import encoder, vocabulary
 
 #: Distinct terms of documents for each index shard and for each slice of its queries, and what a document counts besides
 #: its terms: they bound a task's memory. A shard's index goes to each of its slices.
-SHARD_POSTINGS, SLICE_POSTINGS, DOCUMENT_COST = 32_000_000, 5_000_000, 100
+SHARD_POSTINGS, SLICE_POSTINGS, DOCUMENT_COST = 24_000_000, 8_000_000, 100
 #: Distinct texts the clusters are fitted on, terms aimed at for a cluster, and the most clusters: the fit's bounds.
 SAMPLE_TEXTS, CLUSTER_POSTINGS, MOST_CLUSTERS = 20_000, 20_000, 1024
 DIRECTIONS = 96
@@ -47,7 +47,7 @@ class Statistics:
         self.n, self.mean = n, max(mean, 1.0)
         self.idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
         common = np.argsort(-df, kind="stable")[:HEAD]
-        self.head = np.full(len(df), -1, np.int64)
+        self.head = np.full(len(df), -1, np.int32)
         self.head[common] = np.arange(len(common))
         self.width = len(common)
 
@@ -64,9 +64,12 @@ class BM25Index:
         if statistics is None:
             statistics = Statistics(n, float(length.mean()) if n else 0.0, np.bincount(term))
         self.statistics, self.term, self.offset = statistics, term, offset
-        self.doc = np.repeat(np.arange(n), np.diff(offset))
+        self.doc = np.repeat(np.arange(n, dtype=np.int32), np.diff(offset))
         norm = (k1 * (1 - b + b * length / statistics.mean)).astype(np.float32)
-        self.weight = (statistics.idf[term] * tf * (k1 + 1) / (tf + norm[self.doc])).astype(np.float32)
+        self.weight = np.empty(len(term), np.float32)
+        for a in range(0, len(term), 1 << 20):
+            part = slice(a, a + (1 << 20))
+            self.weight[part] = statistics.idf[term[part]] * tf[part] * (k1 + 1) / (tf[part] + norm[self.doc[part]])
         #: Places of a block's terms, by term id; refilled for each block.
         self.place = np.full(len(statistics.idf), -1, np.int64)
 
@@ -82,7 +85,7 @@ class BM25Index:
         Terms that several of the documents hold are scored by a matrix product, the others by their postings.
         """
         a, b, n = self.offset[first], self.offset[stop], stop - first
-        term, doc, weight = self.term[a:b], self.doc[a:b] - first, self.weight[a:b]
+        term, doc, weight = self.term[a:b], self.doc[a:b].astype(np.int64) - first, self.weight[a:b]
         words, of, count = np.unique(term, return_inverse=True, return_counts=True)
         common = count > max(1, n // 64)
         at = np.cumsum(common) - 1
@@ -116,10 +119,10 @@ class BM25Index:
         if probes == len(starts):
             return np.tile(np.arange(probes), (len(own), 1))
         head, width = self.statistics.head, self.statistics.width
-        block = np.repeat(np.arange(len(starts)), stops - starts)[self.doc]
+        block = np.repeat(np.arange(len(starts), dtype=np.int32), stops - starts)[self.doc]
         at = head[self.term]
         inside = at >= 0
-        means = np.bincount(at[inside] * len(starts) + block[inside], weights=self.weight[inside], minlength=width * len(starts)).reshape(width, -1)
+        means = np.bincount(at[inside].astype(np.int64) * len(starts) + block[inside], weights=self.weight[inside], minlength=width * len(starts)).reshape(width, -1)
         means = (means / (stops - starts)).astype(np.float32)
         out = np.empty((len(own), probes), np.int64)
         for a in range(0, len(own), 1024):
@@ -143,6 +146,10 @@ class BM25Index:
         stops = np.append(starts[1:], self.size)
         probes = min(probes, len(starts))
         asked = self._blocks(own, starts, stops, probes)
+        return [x for a in range(0, len(own), 8192) for x in self._nearest(k, own[a : a + 8192], asked[a : a + 8192], starts, stops, cells)]
+
+    def _nearest(self, k: int, own: np.ndarray, asked: np.ndarray, starts: np.ndarray, stops: np.ndarray, cells: int) -> list[np.ndarray]:
+        probes = asked.shape[1]
         by_block = np.argsort(asked, axis=None, kind="stable")
         cuts = np.searchsorted(asked.ravel()[by_block], np.arange(len(starts) + 1))
         score, number = np.zeros((len(own), probes, k), np.float32), np.zeros((len(own), probes, k), np.int32)
@@ -340,7 +347,7 @@ def _block(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     """Lengths, offsets, terms and counts of a block's rows in their order."""
     terms = table["terms"].to_pylist()
     offset = np.concatenate(([0], np.cumsum([len(t) // 4 for t in terms]))).astype(np.int64)
-    return table["n"].to_numpy().astype(np.int64), offset, np.frombuffer(b"".join(terms), np.int32).astype(np.int64), np.frombuffer(b"".join(table["tfs"].to_pylist()), np.int32).astype(np.int64)
+    return table["n"].to_numpy().astype(np.int64), offset, np.frombuffer(b"".join(terms), np.int32), np.frombuffer(b"".join(table["tfs"].to_pylist()), np.int32)
 
 
 def _clustered(clusters, statistics, schema: pa.Schema):
@@ -362,7 +369,9 @@ def _search(statistics, k: int, probes: int, schema: pa.Schema):
         item, distinct = np.cumsum(new) - 1, np.flatnonzero(new)
         asking = table["asking"].to_numpy(zero_copy_only=False)
         own = np.flatnonzero(asking[distinct])
-        near = BM25Index(counted=_block(table.take(pa.array(distinct))), statistics=statistics.value).nearest(k, keys[0][distinct], own, probes)
+        counted = _block(table.select(["n", "terms", "tfs"]).take(pa.array(distinct)))
+        table = table.select(["shard", "doc_id", "n"])
+        near = BM25Index(counted=counted, statistics=statistics.value).nearest(k, keys[0][distinct], own, probes)
         found = np.full(len(new), None, object)
         for at, x in zip(distinct[own], near, strict=True):
             found[at] = x.tobytes()
