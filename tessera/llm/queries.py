@@ -8,6 +8,7 @@ from ..sources.tables import table
 from . import frequency, language, mixing, packing
 
 TERM_FIELDS = ["observer_id", "loc_id1", "omernik_l3_ecoregion"]
+NAME_FIELDS = ["county", "state_province", "omernik_l3_ecoregion"]
 
 
 def _terms(spark: SparkSession, d: str) -> DataFrame:
@@ -22,6 +23,11 @@ def p5_frequencies(spark: SparkSession, d: str) -> DataFrame:
     return _terms(spark, d)
 
 
+def p5_ngrams(spark: SparkSession, d: str) -> DataFrame:
+    """All word n-grams of the names of places."""
+    return frequency.word_ngrams(table(spark, d, "checklists"), record_col="sampling_event_id0", fields=NAME_FIELDS)
+
+
 def p6_pack(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(table(spark, d, "documents"), table(spark, d, "pack_capacities"))
 
@@ -58,7 +64,7 @@ def p8_passages(spark: SparkSession, d: str) -> DataFrame:
     return language.segments(language.passages(table(spark, d, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_frequencies, p6_pack, p6_fill, p7_mix, p7_shares, p7_shards, p8_found, p8_languages, p8_passages)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_frequencies, p5_ngrams, p6_pack, p6_fill, p7_mix, p7_shares, p7_shards, p8_found, p8_languages, p8_passages)}
 
 _FREQUENCIES = """
 WITH long AS (
@@ -68,7 +74,13 @@ freq AS (
 marked AS (
   SELECT *, CASE WHEN records < 3 THEN 'too_rare' WHEN records * 20 > (SELECT count(DISTINCT sampling_event_id0) FROM checklists) THEN 'too_common' ELSE 'useful' END mark FROM freq)
 """
+_NGRAMS = r"""
+WITH long AS (SELECT sampling_event_id0 r, unnest([{'f': 'county', 't': county}, {'f': 'state_province', 't': state_province}, {'f': 'omernik_l3_ecoregion', 't': omernik_l3_ecoregion}]) p FROM checklists),
+w AS (SELECT r, p.f f, list_filter(string_split_regex(upper(p.t), '[ \t\r\n]+'), lambda x: x <> '') w FROM long WHERE p.t IS NOT NULL),
+s AS (SELECT r, f, w, unnest(range(1, len(w) + 1)) i FROM w), g AS (SELECT r, f, w, i, unnest(range(i, len(w) + 1)) j FROM s)
+SELECT f AS field_name, array_to_string(w[i:j], ' ') AS gram, CAST(j - i + 1 AS INT) AS n, count(*) AS occurrences, count(DISTINCT r) AS records FROM g GROUP BY 1, 2, 3"""
 ORACLE = {
+    "p5_ngrams": _NGRAMS,
     "p5_found": _FREQUENCIES + "SELECT field_name, term FROM marked WHERE mark <> 'useful'",
     "p5_frequencies": _FREQUENCIES + "SELECT field_name, term, occurrences, records, mark FROM marked",
 }
