@@ -6,7 +6,9 @@ to give (with repeats) are its exact quota; a binary tree splits the vector of
 quotas among the output shards, at each node by one multivariate-hypergeometric
 draw, so that every shard gets a random mix and no block is lost or used twice.
 Leaves then take the next blocks of each source's permuted sequence and shuffle
-their documents locally. Only block sizes, a bounded number, reach the driver.
+their documents locally. Only block sizes, a bounded number, reach the driver: the
+upper part of the tree grows there, and where its leaves are larger than a shard
+should be, each is split further by a task of its own, over finer blocks.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,10 +24,12 @@ from ..session import staged
 from .tokens import with_token_counts
 
 #: Each source, and each block that is refined, has 2 ** BLOCK_BITS blocks, whatever its size; with the listed
-#: sources they bound what the driver holds.
-BLOCK_BITS, MOST_DEPTH = 9, 6
-#: Tokens aimed at for each output shard, and the most shards of one plan.
-SHARD_TOKENS, MOST_SHARDS = 4_000_000, 4096
+#: sources they bound what the driver holds. Blocks can be refined until the hash's 64 bits are used up.
+BLOCK_BITS, MOST_DEPTH = 9, 7
+#: Tokens aimed at for each output shard, and the most leaves of the tree on the driver; larger leaves are split by tasks.
+SHARD_TOKENS, DRIVER_LEAVES = 4_000_000, 4096
+#: Finer blocks for each output shard, at least, where a leaf is split by a task.
+FINE_BLOCKS = 32
 SEED = 20240229
 #: Blocks whose documents may fill what whole blocks leave of a quota, the documents they may hold together, and rounds of filling.
 TAIL_BLOCKS, TAIL_DOCUMENTS, TAIL_ROUNDS = 16, 100_000, 4
@@ -132,10 +137,8 @@ def _block_sizes(sized: DataFrame, depth: int) -> dict[str, dict[int, tuple[int,
     return out
 
 
-def _dealt(quotas: list[Quota], sequences: list[list[tuple[int, int, int, int]]], rng: np.random.Generator, shard_tokens: int) -> list[tuple[str, int, int, int, int, int]]:
-    """The uses dealt to the output shards by the splitting tree: (source, depth, block, copy, room, out_shard)."""
-    total = sum(q.quota for q in quotas)
-    shards = int(min(MOST_SHARDS, max(1, -(-total // shard_tokens))))
+def _dealt(quotas: list[Quota], sequences: list[list[tuple[int, int, int, int]]], rng: np.random.Generator, shards: int) -> list[tuple[str, int, int, int, int, int]]:
+    """The uses dealt to the leaves of the splitting tree: (source, depth, block, copy, room, leaf)."""
     leaves = split_quotas(np.array([len(s) for s in sequences]), shards, rng)
     out, at = [], [0] * len(sequences)
     for shard, counts in enumerate(leaves):
@@ -145,17 +148,53 @@ def _dealt(quotas: list[Quota], sequences: list[list[tuple[int, int, int, int]]]
     return out
 
 
+def fine_block(depth: int, bits: int) -> Column:
+    """The ``bits`` of a document's hash below its block at a depth, as far as there are any."""
+    left = 64 - BLOCK_BITS * (depth + 1)
+    bits = min(bits, left)
+    return F.shiftrightunsigned("h", left - bits).bitwiseAND(F.lit((1 << bits) - 1)) if bits > 0 else F.lit(0).cast("long")
+
+
+def _split_leaf(parts: int, bits: int, seed: int):
+    """The lower part of the tree: the whole blocks of one leaf, cut into 2 ** ``bits`` finer ones, dealt to its ``parts`` output shards."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["source", "depth", "block", "copy"], kind="stable").reset_index(drop=True)
+        leaf = int(rows["out_shard"].iloc[0])
+        rng = np.random.default_rng([seed, leaf])
+        # A block so deep that few bits are left has fewer finer ones.
+        fine = np.maximum(0, np.minimum(bits, 64 - BLOCK_BITS * (rows["depth"].to_numpy() + 1)))
+        count = np.where(rows["room"].to_numpy() < 0, 1 << fine, 1)
+        at = np.repeat(np.arange(len(rows)), count)
+        number = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
+        source = rows["source"].astype("category").cat.codes.to_numpy()[at]
+        dealt = np.empty(len(at), np.int64)
+        leaves = split_quotas(np.bincount(source), parts, rng)
+        for k in range(leaves.shape[1]):
+            own = rng.permutation(np.flatnonzero(source == k))
+            dealt[own] = np.repeat(np.arange(parts), leaves[:, k])
+        out = rows.iloc[at].reset_index(drop=True)
+        whole = out["room"].to_numpy() < 0
+        # The tail of a quota, used in part, is not cut.
+        return out.assign(fine=np.where(whole, number, -1), out_shard=leaf * parts + dealt)
+
+    return run
+
+
 @dataclass
 class Mix:
-    """The sized documents (doc_id, source, n_tokens, h) and the plan (source, depth, block, copy, room, out_shard)."""
+    """The sized documents (doc_id, source, n_tokens, h), the plan (source, depth, block, copy, room, out_shard) and, if its leaves are split by tasks, into how many shards each and by how many finer bits."""
 
     sized: DataFrame
     plan: DataFrame
     targets: DataFrame
     depths: list[int]
+    parts: int = 1
+    bits: int = 0
+    seed: int = SEED
 
 
-def plan_mix(documents: DataFrame, targets: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, shard_tokens: int = SHARD_TOKENS, tail_documents: int = TAIL_DOCUMENTS, tokenizer_dir: str | None = None) -> Mix:
+def plan_mix(documents: DataFrame, targets: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, shard_tokens: int = SHARD_TOKENS, driver_leaves: int = DRIVER_LEAVES, tail_documents: int = TAIL_DOCUMENTS, tokenizer_dir: str | None = None) -> Mix:
     """Measure the documents once and plan the mix.
 
     ``targets`` (source, target_share, max_repeats) is a small fixed list; names
@@ -172,9 +211,14 @@ def plan_mix(documents: DataFrame, targets: DataFrame, *, id_col: str = "doc_id"
     sizes = _block_sizes(sized.filter(F.col("source").isin(list(listed))), 0)
     quotas = plan_quotas(list(listed.values()), {source: sum(t for t, _ in blocks.values()) for source, blocks in sizes.items()})
     rng = np.random.default_rng(seed)
-    rows = _dealt(quotas, _sequences(sized, quotas, sizes, rng, tail_documents), rng, shard_tokens)
+    shards = max(1, -(-sum(q.quota for q in quotas) // shard_tokens))
+    parts = -(-shards // driver_leaves)
+    leaves = -(-shards // parts)
+    rows = _dealt(quotas, _sequences(sized, quotas, sizes, rng, tail_documents), rng, leaves)
+    # As many finer blocks that every output shard gets FINE_BLOCKS of them from the leaf's own.
+    bits = max(0, (FINE_BLOCKS * parts * leaves // max(len(rows), 1)).bit_length()) if parts > 1 else 0
     plan = spark.createDataFrame(rows, "source string, depth int, block long, copy int, room long, out_shard int")
-    return Mix(sized, plan, spark.createDataFrame(list(listed.values()), "source string, target_share double, max_repeats int"), sorted({r[1] for r in rows}))
+    return Mix(sized, plan, spark.createDataFrame(list(listed.values()), "source string, target_share double, max_repeats int"), sorted({r[1] for r in rows}), parts, bits, seed)
 
 
 def _tail_picks(part: DataFrame) -> DataFrame:
@@ -194,8 +238,18 @@ def placements(mix: Mix) -> DataFrame:
     """One row for every use of a document: doc_id, source, n_tokens, copy, out_shard, h."""
     columns = ["doc_id", "source", "n_tokens", "copy", "out_shard", "h"]
     out = None
+    plan = mix.plan.withColumn("fine", F.lit(-1).cast("long"))
+    if mix.parts > 1:
+        fields = "source string, depth int, block long, copy int, room long, out_shard int, fine long"
+        plan = staged(mix.plan.groupBy("out_shard").applyInPandas(_split_leaf(mix.parts, mix.bits, mix.seed), fields))
     for depth in mix.depths or [0]:
-        uses = mix.sized.filter("n_tokens > 0").withColumn("block", block_at(depth)).join(mix.plan.filter(F.col("depth") == depth).drop("depth"), ["source", "block"])
+        own = plan.filter(F.col("depth") == depth).drop("depth")
+        documents = mix.sized.filter("n_tokens > 0").withColumn("block", block_at(depth))
+        if mix.parts > 1:
+            fine = documents.withColumn("fine", fine_block(depth, mix.bits)).join(own.filter("fine >= 0"), ["source", "block", "fine"])
+            uses = fine.unionByName(documents.join(own.filter("fine < 0"), ["source", "block"])).drop("fine")
+        else:
+            uses = documents.join(own.drop("fine"), ["source", "block"])
         part = _tail_picks(uses.filter("room >= 0")).filter("picked")
         own = uses.filter("room < 0").select(*columns).unionByName(part.select(*columns))
         out = own if out is None else out.unionByName(own)

@@ -197,8 +197,8 @@ class Clusters:
         weight = statistics.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / statistics.mean))
         out = np.zeros((len(length), projection.shape[1]), np.float32)
         full = np.flatnonzero(np.diff(offset))
-        for at in range(0, len(full), 4096):  # the rows of a chunk's terms, not of all
-            part = full[at : at + 4096]
+        for at in range(0, len(full), 512):  # the rows of a chunk's terms, not of all
+            part = full[at : at + 512]
             a, b = offset[part[0]], offset[part[-1] + 1]
             out[part] = np.add.reduceat(projection[term[a:b]] * weight[a:b, None].astype(np.float32), offset[part] - a, axis=0)
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)

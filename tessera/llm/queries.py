@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..session import staged
 from ..sources.tables import table
 from . import frequency, language, mixing, packing
 
@@ -52,6 +54,25 @@ def p7_shards(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shuffled_shards(_mix(spark, d))
 
 
+def p7_check(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each listed source keeps its limit of uses and comes within half a percent of its share."""
+    shares = p7_shares(spark, d)
+    return shares.select("source", "target_share", "max_repeats", (F.col("most_uses") <= F.col("max_repeats")).alias("limit_kept"), (F.abs(F.col("actual_share") - F.col("target_share")) < 0.005).alias("share_met"))
+
+
+def p6_check(spark: SparkSession, d: str) -> DataFrame:
+    """For each capacity the documents that have a place, those with a wrong number of pieces, and containers with more than they hold."""
+    places, caps = staged(p6_pack(spark, d)), table(spark, d, "pack_capacities")
+    texts = table(spark, d, "documents").select("doc_id", "n_chars")
+    own = places.groupBy("capacity_id", "doc_id").agg(F.count("*").alias("pieces"), F.sum("n_tokens").alias("tokens"), F.count_if(F.col("container_id").isNull()).alias("unplaced"))
+    own = own.join(caps, "capacity_id").join(texts, "doc_id")
+    # A text has a token if it has a character, and never more tokens than bytes.
+    wrong = (F.col("pieces") != F.greatest(F.lit(1), F.ceil(F.col("tokens") / F.col("capacity_tokens")))) | ((F.coalesce("n_chars", F.lit(0)) > 0) != (F.col("tokens") > 0)) | ((F.col("unplaced") > 0) != (F.col("tokens") == 0))
+    documents = own.groupBy("capacity_id").agg(F.count("*").alias("documents"), F.count_if(wrong).alias("wrong_documents"))
+    loads = places.filter("container_id is not null").groupBy("capacity_id", "container_id").agg(F.sum("n_tokens").alias("load")).join(caps, "capacity_id")
+    return documents.join(loads.groupBy("capacity_id").agg(F.count_if(F.col("load") > F.col("capacity_tokens")).alias("overfull")), "capacity_id")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return language.unnamed_languages(language.passages(table(spark, d, "documents"))).distinct()
 
@@ -64,7 +85,7 @@ def p8_passages(spark: SparkSession, d: str) -> DataFrame:
     return language.segments(language.passages(table(spark, d, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_frequencies, p5_ngrams, p6_pack, p6_fill, p7_mix, p7_shares, p7_shards, p8_found, p8_languages, p8_passages)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_frequencies, p5_ngrams, p6_pack, p6_fill, p6_check, p7_mix, p7_shares, p7_check, p7_shards, p8_found, p8_languages, p8_passages)}
 
 _FREQUENCIES = """
 WITH long AS (
@@ -81,6 +102,8 @@ s AS (SELECT r, f, w, unnest(range(1, len(w) + 1)) i FROM w), g AS (SELECT r, f,
 SELECT f AS field_name, array_to_string(w[i:j], ' ') AS gram, CAST(j - i + 1 AS INT) AS n, count(*) AS occurrences, count(DISTINCT r) AS records FROM g GROUP BY 1, 2, 3"""
 ORACLE = {
     "p5_ngrams": _NGRAMS,
+    "p6_check": "SELECT capacity_id, (SELECT count(*) FROM documents) AS documents, CAST(0 AS BIGINT) AS wrong_documents, CAST(0 AS BIGINT) AS overfull FROM pack_capacities",
+    "p7_check": "SELECT lower(trim(source)) AS source, target_share, max_repeats, true AS limit_kept, true AS share_met FROM mix_targets",
     "p5_found": _FREQUENCIES + "SELECT field_name, term FROM marked WHERE mark <> 'useful'",
     "p5_frequencies": _FREQUENCIES + "SELECT field_name, term, occurrences, records, mark FROM marked",
 }

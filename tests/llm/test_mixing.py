@@ -54,6 +54,19 @@ def test_shares_repeats_and_placements(spark, tail_documents):
     assert len(per) > 3 and all(n == p for _, n, p in per)
 
 
+def test_leaves_too_large_for_the_driver_are_split_by_tasks(spark):
+    docs = [(k, "word " * (3 + k % 9), "big" if k % 3 else "small", "x") for k in range(3000)]
+    targets = [("big", 0.5, 1), ("small", 0.5, 2)]
+    whole, split = (mix(spark, docs, targets, shard_tokens=300, driver_leaves=n) for n in (4096, 4))
+    assert whole.parts == 1 and split.parts > 8
+    uses, placed = mixing.document_uses(split), mixing.placements(split)
+    assert rows(uses) == rows(mixing.document_uses(whole))
+    assert rows(placed.groupBy("doc_id").agg(F.count("*"))) == rows(uses.filter("times_used > 0").selectExpr("doc_id", "cast(times_used as bigint)"))
+    assert placed.select("doc_id", "copy").distinct().count() == placed.count()
+    tokens = sorted(r[1] for r in placed.groupBy("out_shard").agg(F.sum("n_tokens")).collect())
+    assert len(tokens) >= 0.9 * split.parts * 4 and np.median(tokens) == pytest.approx(sum(tokens) / (split.parts * 4), rel=0.3) and tokens[-1] < 3 * np.median(tokens)
+
+
 def test_same_seed_same_mix(spark):
     docs = [(k, "word " * (1 + k % 5), "s" if k % 3 else "t", None) for k in range(500)]
     one, two = (rows(mixing.placements(mix(spark, docs, [("s", 0.5, 1), ("t", 0.5, 1)], shard_tokens=200))) for _ in range(2))
