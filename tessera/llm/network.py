@@ -73,7 +73,7 @@ class ByteNet:
         logits = hidden @ self.p["out"] + self.p["obias"]
         return col, at, hidden, logits
 
-    def log_probabilities(self, x: np.ndarray, batch: int = 256) -> np.ndarray:
+    def log_probabilities(self, x: np.ndarray, batch: int = 64) -> np.ndarray:
         out = np.empty((len(x), self.p["obias"].size), np.float32)
         for s in range(0, len(x), batch):
             part = x[s : s + batch]
