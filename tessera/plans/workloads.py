@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import climate, features, forest, graph, links, numbering, words
 from ..operators.selection import unique_links
-from ..session import staged
-from ..sources import readers
+from ..session import fresh_path, staged
+from ..sources import readers, sinks
 from ..sources.tables import table
 
 # ---------------------------------------------------------------- climate
@@ -160,6 +160,73 @@ def link_extract(spark: SparkSession, d: str) -> DataFrame:
     return found.select("page", F.array_join("links", "|").alias("links"))
 
 
+def _pages(adjacency: DataFrame) -> DataFrame:
+    """Crawled pages as lines ``name:html``: every list member an anchor, characters that end an attribute or tag percent-escaped."""
+    href = lambda m: F.regexp_replace(F.regexp_replace(F.replace(F.replace(F.replace(m, F.lit('"'), F.lit("%22")), F.lit("<"), F.lit("%3C")), F.lit("\t"), F.lit("%09")), "\n", "%0A"), "\r", "%0D")
+    anchor = lambda m: F.concat(F.lit('<a href="../x/'), href(m), F.lit('.html">l</a>'))
+    body = F.array_join(F.transform(F.filter(F.split(F.coalesce("edges", F.lit("")), r"\|"), lambda m: m != ""), anchor), "")
+    name = F.replace("page", F.lit(":"), F.lit("%3A"))
+    return adjacency.select(F.concat(name, F.lit(':<html><body><a href="../x/Head.html">h</a><div id="bodyContent">'), body, F.lit("</div></body></html>")).alias("value"))
+
+
+def link_extract_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The links of every crawled page, parsed from its markup."""
+    found = links.extract_links(_pages(table(spark, d, "adjacency")))
+    return found.select("page", F.array_join("links", "|").alias("links"))
+
+
+# ---------------------------------------------------------------- text formats, written and read again
+
+
+def text_climate_means(spark: SparkSession, d: str) -> DataFrame:
+    """Means of readings that went through lines of text without a header (every delivered line counts)."""
+    path = fresh_path(spark)
+    fields = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("station", "obs_date", "elem", "reading")]
+    sinks.value_text(table(spark, d, "climate_obs").select(F.concat_ws(",", *fields).alias("line")), path, "line")
+    rows = climate.means(climate.readings(readers.climate_csv(spark, path), key=None), "station")
+    return rows.select("station", F.round("avg_tmin", 6).alias("avg_tmin"), F.round("avg_tmax", 6).alias("avg_tmax"))
+
+
+def text_word_count(spark: SparkSession, d: str) -> DataFrame:
+    """Token counts of the texts as lines in compressed files."""
+    path = fresh_path(spark)
+    sinks.tab_text(table(spark, d, "documents").select("text"), path, compression="bzip2")
+    return words.token_counts(readers.text_lines(spark, path), "value")
+
+
+def text_index(spark: SparkSession, d: str) -> DataFrame:
+    path = fresh_path(spark)
+    sinks.tab_text(node_index(spark, d).select("node", "idx"), path)
+    return readers.index_text(spark, path)
+
+
+def text_adjacency(spark: SparkSession, d: str) -> DataFrame:
+    """Pages and their links out of lines ``page TAB a|b``."""
+    path = fresh_path(spark)
+    sinks.tab_text(adjacency_list(spark, d), path, ["page", "links"])
+    return readers.adjacency_text(spark, path).select("page", F.array_join("links", "|").alias("links"))
+
+
+def text_matrix(spark: SparkSession, d: str) -> DataFrame:
+    path = fresh_path(spark)
+    sinks.matrix_text(transition_matrix(spark, d), path)
+    return readers.matrix_text(spark, path).select("i", "j", F.round("v", 9).alias("v"))
+
+
+def text_tuples(spark: SparkSession, d: str) -> DataFrame:
+    """The lines ``(count,token)`` of the most frequent words."""
+    path = fresh_path(spark)
+    sinks.tuple_text(top_words(spark, d), path, ["occurrences", "token"])
+    return readers.text_lines(spark, path).select(F.col("value").alias("line"))
+
+
+def text_table(spark: SparkSession, d: str) -> DataFrame:
+    """A small table through a single file with a header."""
+    path = fresh_path(spark)
+    sinks.single_csv(table(spark, d, "counties"), path, ["subnational2_code", "county", "state_province"])
+    return readers.header_csv(spark, path, "subnational2_code string, county string, state_province string")
+
+
 # ---------------------------------------------------------------- features and forest
 
 _KEEP = ("row_id", "sampling_event_id0")
@@ -202,7 +269,7 @@ QUERIES = {
     for f in (
         climate_station_means, climate_yearly_means, climate_yearly_series, word_count, top_words, node_index, node_count, adjacency_list, out_degree, dangling_nodes, transition_matrix, dangling_mass,
         pagerank_step, pagerank_10, pagerank_shuffle_10, pagerank_broadcast_10, pagerank_damped_10, pagerank_no_teleport_10, pagerank_top100, matrix_product, matrix_dangling_mass, matrix_top100,
-        link_extract, feature_prep, distinct_per_column, frequency_index, forest_accuracy, forest_predictions,
+        link_extract, link_extract_pages, text_climate_means, text_word_count, text_index, text_adjacency, text_matrix, text_tuples, text_table, feature_prep, distinct_per_column, frequency_index, forest_accuracy, forest_predictions,
     )
 }
 
@@ -269,6 +336,16 @@ ORACLE = {
     "matrix_dangling_mass": f"WITH {_STORED} SELECT round(coalesce(sum(1.0::DOUBLE / n), 0), 9) AS mass, count(*) AS nodes FROM own, n WHERE idx NOT IN (SELECT j FROM m)",
     "matrix_top100": f"WITH {_STORED}, t AS (SELECT i, v FROM p ORDER BY v DESC, i LIMIT 100) SELECT i, page_name, v FROM t JOIN node_index ON idx = i",
     "link_extract": "SELECT * FROM (VALUES ('P1', 'A|B_1|A'), ('P2', ''), ('P4', 'Band_(music)|R&D|R&amp;D|A B')) t(page, links)",
+    "link_extract_pages": """WITH m AS (SELECT adj_id, replace(page, ':', '%3A') AS page, unnest(list_transform(string_split(coalesce(edges, ''), '|'), lambda x, i: {'i': i, 'n': url_decode(x)})) u, loaded_at
+        FROM (SELECT row_number() OVER () AS adj_id, page, edges, loaded_at FROM adjacency)),
+      l AS (SELECT adj_id, page, u.i i, regexp_extract(u.n, '([^/]*)$', 1) n FROM m)
+      SELECT page, coalesce(string_agg(n, '|' ORDER BY i) FILTER (WHERE n <> '' AND NOT contains(n, '~')), '') AS links FROM l WHERE page <> '' AND NOT contains(page, '~') GROUP BY adj_id, page""",
+    "text_climate_means": """WITH r AS (SELECT station, elem, nullif(reading, -9999) v FROM climate_obs)
+      SELECT station, round(avg(v) FILTER (WHERE elem = 'TMIN'), 6) AS avg_tmin, round(avg(v) FILTER (WHERE elem = 'TMAX'), 6) AS avg_tmax FROM r WHERE elem IN ('TMIN', 'TMAX') GROUP BY 1""",
+    "text_word_count": _WORDS,
+    "text_index": f"WITH {_GRAPH} SELECT node, idx FROM idx",
+    "text_tuples": f"SELECT '(' || occurrences || ',' || token || ')' AS line FROM ({_WORDS}) ORDER BY occurrences DESC, token LIMIT 100",
+    "text_table": "SELECT subnational2_code, county, state_province FROM counties",
     "feature_prep": f"""WITH once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sampling_event_id0 ORDER BY submitted_at DESC, row_id DESC) rn FROM checklists) WHERE rn = 1)
       SELECT row_id, CASE WHEN TRY_CAST(agelaius_phoeniceus AS DOUBLE) > 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS label, CASE WHEN count_type = 'P34' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS COUNT_TYPE_P34,
         CASE WHEN group_id IS NULL OR group_id = '?' THEN 'G0000' ELSE {_REPLACE.format('group_id')} END AS GROUP_ID, TRY_CAST({_REPLACE.format('primary_checklist_flag')} AS DOUBLE) AS PRIMARY_CHECKLIST_FLAG,
@@ -277,3 +354,4 @@ ORACLE = {
     "distinct_per_column": f'SELECT "column", count(*) AS n FROM (SELECT DISTINCT "column", value FROM ({_CATEGORIES})) GROUP BY 1',
     "frequency_index": f"""SELECT "column", value, count(*) AS "rows", row_number() OVER (PARTITION BY "column" ORDER BY count(*) DESC, value) - 1 AS idx FROM ({_CATEGORIES}) WHERE value IS NOT NULL GROUP BY 1, 2""",
 }
+ORACLE |= {"text_adjacency": ORACLE["adjacency_list"], "text_matrix": ORACLE["transition_matrix"]}
