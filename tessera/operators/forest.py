@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .features import CATEGORICAL, numeric
+from .trees import MOST_BINS, TASK_VALUES, GrownForest, grown
 
 SEED = 17
 
@@ -25,7 +26,8 @@ def _indexer(df: DataFrame) -> StringIndexer:
     return StringIndexer(inputCols=own, outputCols=[f"{c}_index" for c in own], handleInvalid="keep", stringOrderType="frequencyDesc")
 
 
-def _vectors(indexed: DataFrame, ids: tuple[str, ...], nominal: bool) -> DataFrame:
+def _columns(indexed: DataFrame, ids: tuple[str, ...], nominal: bool) -> tuple[DataFrame, list[str]]:
+    """Ids, label and inputs as finite doubles, and the inputs' names."""
     # Unless nominal, indexes go in as plain numbers: trees split on the rank of frequency, and maxBins need not cover
     # the widest column. A cast drops the metadata that marks a column as nominal.
     marked = [f"{c}_index" for c in _present(indexed, CATEGORICAL)] if nominal else []
@@ -33,6 +35,11 @@ def _vectors(indexed: DataFrame, ids: tuple[str, ...], nominal: bool) -> DataFra
     inputs = sorted(c for c in slim.columns if c != "label" and c.upper() not in {i.upper() for i in ids})
     # Missing values, and text such as inf or NaN that casts to no finite number, are -1, as in the missing-value rules.
     slim = slim.withColumns({c: F.when(F.abs(F.col(f"`{c}`")) < float("inf"), F.col(f"`{c}`")).otherwise(-1.0) for c in inputs if c not in marked})
+    return slim.select(*_present(slim, list(ids)), "label", *(f"`{c}`" for c in inputs)), inputs
+
+
+def _vectors(indexed: DataFrame, ids: tuple[str, ...], nominal: bool) -> DataFrame:
+    slim, inputs = _columns(indexed, ids, nominal)
     return VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep").transform(slim).select(*_present(slim, list(ids)), "label", "features")
 
 
@@ -41,7 +48,7 @@ class Forest:
     """A fitted indexer and forest, and whether indexes are nominal to it."""
 
     indexer: StringIndexerModel
-    model: RandomForestClassificationModel
+    model: RandomForestClassificationModel | GrownForest
     nominal: bool
 
 
@@ -49,16 +56,26 @@ def fit_forest(train: DataFrame, *, trees: int = 50, depth: int = 20, bins: int
     """A forest for a prepared table; values unseen in training get an index of their own.
 
     ``nominal`` keeps the indexed columns as categories, which is the better model
-    where they have few values; ``bins`` then grows to the widest of them.
+    where they have few values; ``bins`` then grows to the widest of them. Without it
+    each tree is grown by a task (``trees``), as long as a task can hold the binned
+    table; beyond that, and with ``nominal``, Spark's forest is fitted.
     """
     indexer = _indexer(train).fit(train)
+    indexed = indexer.transform(train)
+    if not nominal and 2 <= bins <= MOST_BINS:
+        slim, inputs = _columns(indexed, ids, nominal)
+        if 0 < slim.count() * len(inputs) <= TASK_VALUES:
+            return Forest(indexer, grown(slim, inputs, trees=trees, depth=depth, bins=bins, seed=seed), nominal)
     widest = max((len(labels) for labels in indexer.labelsArray), default=0) + 1
     forest = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=trees, maxDepth=depth, maxBins=max(bins, widest) if nominal else bins, seed=seed)
-    return Forest(indexer, forest.fit(_vectors(indexer.transform(train), ids, nominal)), nominal)
+    return Forest(indexer, forest.fit(_vectors(indexed, ids, nominal)), nominal)
 
 
 def predict(forest: Forest, rows: DataFrame, ids: tuple[str, ...] = ()) -> DataFrame:
-    return forest.model.transform(_vectors(forest.indexer.transform(rows), ids, forest.nominal))
+    indexed = forest.indexer.transform(rows)
+    if isinstance(forest.model, GrownForest):
+        return forest.model.transform(_columns(indexed, ids, forest.nominal)[0])
+    return forest.model.transform(_vectors(indexed, ids, forest.nominal))
 
 
 def accuracy(predictions: DataFrame) -> float:
