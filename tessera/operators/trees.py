@@ -104,13 +104,15 @@ def _best(x: np.ndarray, node: np.ndarray, code: np.ndarray, n: np.ndarray, p: n
     score = p * p / n * (1 + 1e-13)
     before_n, before_p = np.cumsum(n) - n, np.cumsum(p) - p
     low, high = int(code.max()).bit_length(), int(x.max()).bit_length()
-    wide = np.uint32 if low + high + len(n).bit_length() <= 32 else np.uint64
+    wide = np.uint32 if low + high + len(n).bit_length() <= 32 else np.int64
     base = node.astype(wide) << wide(low + high) | code.astype(wide)
     codes = np.arange(1 << low)
     sums = codes >> 1 << 32 | (codes >> 1) * (codes & 1)  # both sums in one number
     place, flat = np.arange(len(x)) * x.shape[1], x.reshape(-1)
     for chosen in subsets:
-        key = flat.take(place + chosen.take(node)).astype(wide)
+        at = chosen.take(node)
+        at += place
+        key = flat.take(at).astype(wide)
         key <<= wide(low)
         key |= base
         key.sort()
@@ -143,7 +145,7 @@ def grow(bins: np.ndarray, labels: np.ndarray, weights: np.ndarray, depth: int,
     Weights are whole and at most 127; each node tries ``subset`` features.
     """
     rows, features = np.flatnonzero(weights), bins.shape[1]
-    x, code, node = bins[rows], weights[rows] << 1 | labels[rows], np.zeros(len(rows), np.int32)
+    x, code, node = bins[rows], weights[rows] << 1 | labels[rows], np.zeros(len(rows), np.int64)
     n = np.array([float(weights.sum())])
     p = np.array([float(weights[labels == 1].sum())])
     levels = []
@@ -162,9 +164,9 @@ def grow(bins: np.ndarray, labels: np.ndarray, weights: np.ndarray, depth: int,
         tree["feature"][at], tree["cut"][at], tree["left"][at] = found["feature"][parents], found["cut"][parents], 2 * np.arange(len(parents))
         n, p = (np.stack([found[k][parents], total[at] - found[k][parents]], axis=1).reshape(-1) for k, total in (("n", n), ("p", p)))
         mixed = (p > 0) & (p < n)
-        following = np.full(2 * len(found["n"]), -1, np.int32)
+        following = np.full(2 * len(found["n"]), -1, np.int64)
         following[(2 * parents[:, None] + [0, 1]).reshape(-1)] = np.where(mixed, np.cumsum(mixed) - 1, -1)
-        right = x.reshape(-1).take(np.arange(len(x)) * features + np.maximum(found["feature"], 0).take(node)) > found["cut"].take(node)
+        right = x.reshape(-1).take(np.arange(len(x)) * features + np.maximum(found["feature"], 0).astype(np.int64).take(node)) > found["cut"].take(node)
         node = following.take(2 * node + right)
         going = np.flatnonzero(node >= 0)
         if len(going) < len(node):
@@ -192,30 +194,40 @@ def _compact(levels: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
         start += len(kept)
         children = tree["left"][kept[inner]]
         kept = np.stack([children, children + 1], axis=1).reshape(-1)
-    return {k: np.concatenate(v) for k, v in out.items()}
+    return {k: np.concatenate(v) for k, v in out.items()} | {"root": np.zeros(1, np.int32)}
 
 
 def shares(tree: dict[str, np.ndarray], bins: np.ndarray) -> np.ndarray:
-    """The share of label 1 in each row's leaf."""
+    """The share of label 1 in each row's leaf, summed over the trees that begin at ``root``."""
     inner = tree["feature"] >= 0
     entry = np.where(inner, tree["left"].astype(np.int64) << 32 | tree["feature"].astype(np.int64) << 16 | tree["cut"], -1)
-    flat, rows, out = bins.reshape(-1), np.arange(len(bins)), np.empty(len(bins))
-    place, node = rows * bins.shape[1], np.zeros(len(bins), np.int64)
-    while len(rows):
-        own = entry.take(node)
-        if own.min() < 0:
-            leaf = own < 0
-            out[rows[leaf]] = tree["share"][node[leaf]]
-            rows, place, own = rows[~leaf], place[~leaf], own[~leaf]
-        node = (own >> 32) + (flat.take(place + (own >> 16 & 0xFFFF)) > (own & 0xFFFF))
+    flat, every, out = bins.reshape(-1), np.arange(len(bins)), np.zeros(len(bins))
+    for root in tree["root"]:
+        rows, place, node = every, every * bins.shape[1], np.full(len(bins), root, np.int64)
+        while len(rows):
+            own = entry.take(node)
+            if own.min() < 0:
+                leaf = own < 0
+                out[rows[leaf]] += tree["share"][node[leaf]]
+                rows, place, own = rows[~leaf], place[~leaf], own[~leaf]
+            node = (own >> 32) + (flat.take(place + (own >> 16 & 0xFFFF)) > (own & 0xFFFF))
     return out
 
 
-_TREE = {"feature": np.int16, "cut": np.uint16, "left": np.int32, "share": np.float64}
+def _joined(trees: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    """Several trees under one numbering."""
+    starts = np.cumsum([0, *(len(t["left"]) for t in trees)])
+    out = {k: np.concatenate([t[k] for t in trees]) for k in ("feature", "cut", "share")}
+    for k in ("left", "root"):
+        out[k] = np.concatenate([t[k] + start for t, start in zip(trees, starts, strict=False)]).astype(np.int32)
+    return out
+
+
+_TREE = {"feature": np.int16, "cut": np.uint16, "left": np.int32, "share": np.float64, "root": np.int32}
 
 
 class GrownForest(Model, _RandomForestClassifierParams):
-    """Trees as a staged table, one row each, and the thresholds of their inputs."""
+    """Trees as a staged table, several in a row, and the thresholds of their inputs."""
 
     def __init__(self, trees: DataFrame, inputs: list[str], edges: list[np.ndarray], **params: int) -> None:
         super().__init__()
@@ -235,8 +247,9 @@ class GrownForest(Model, _RandomForestClassifierParams):
             for batch in batches:
                 for n, bins, rest, *tree in zip(*(batch[c] for c in ("n", "bins", "rest", *_TREE)), strict=True):
                     x = np.frombuffer(bins.as_buffer(), np.uint16).reshape(n.as_py(), features)
-                    own = shares({name: np.frombuffer(value.as_buffer(), kind) for (name, kind), value in zip(fields, tree, strict=True)}, x)
-                    votes, seen = own if votes is None else votes + own, seen + 1
+                    group = {name: np.frombuffer(value.as_buffer(), kind) for (name, kind), value in zip(fields, tree, strict=True)}
+                    own = shares(group, x)
+                    votes, seen = own if votes is None else votes + own, seen + len(group["root"])
                     if seen == trees:
                         table = pa.ipc.open_stream(rest.as_buffer()).read_all()
                         one = votes / trees
@@ -251,28 +264,34 @@ class GrownForest(Model, _RandomForestClassifierParams):
 
 
 def grown(train: DataFrame, inputs: list[str], *, trees: int, depth: int, bins: int, seed: int) -> GrownForest:
-    """A forest for a table of finite doubles ``inputs`` and a label of 0.0 or 1.0."""
+    """A forest for a table of finite doubles ``inputs`` and a label of 0.0 or 1.0; it has a row at least."""
     spark: SparkSession = train.sparkSession
     edges = thresholds(train, inputs, bins)
-    table = staged(blocks(train.select("label", *(f"`{c}`" for c in inputs)), inputs, edges)).coalesce(1)
-    features = len(inputs)
+    table = staged(blocks(train.select("label", *(f"`{c}`" for c in inputs)), inputs, edges))
+    rows, features = table.agg(F.sum("n")).first()[0], len(inputs)
 
     groups = min(trees, 3 * spark.sparkContext.defaultParallelism)  # a task reads the table once for all its trees
 
     def some_trees(batches):
-        group, x, y = None, [], []
+        group, x, y, at = None, np.empty((rows, features), np.uint16), np.empty(rows, np.uint8), 0
         for batch in batches:
             for number, n, bins, rest in zip(*(batch[c] for c in ("group", "n", "bins", "rest")), strict=True):
-                group = number.as_py()
-                x.append(np.frombuffer(bins.as_py(), np.uint16).reshape(n.as_py(), features))
-                y.append(pa.ipc.open_stream(rest.as_buffer()).read_all()["label"].to_numpy().astype(np.uint8))
+                group, part = number.as_py(), slice(at, at + n.as_py())
+                x[part] = np.frombuffer(bins.as_buffer(), np.uint16).reshape(-1, features)
+                y[part] = pa.ipc.open_stream(rest.as_buffer()).read_all()["label"].to_numpy()
+                at = part.stop
+            del batch, bins, rest  # else the last ones stay while trees grow
         if group is not None:
-            x, y = np.concatenate(x), np.concatenate(y)
+            if at != rows:
+                raise ValueError(f"{at} rows of {rows}")
+            pa.default_memory_pool().release_unused()
+            found = []
             for tree in range(group, trees, groups):
                 random = np.random.default_rng([seed, tree])
-                weights = np.minimum(random.poisson(1.0, len(x)), 127).astype(np.uint8)
-                found = grow(x, y, weights if weights.any() else np.ones_like(weights), depth, math.ceil(math.sqrt(features)), random)
-                yield pa.RecordBatch.from_arrays([pa.array([found[name].tobytes()], pa.binary()) for name in _TREE], list(_TREE))
+                weights = np.minimum(random.poisson(1.0, rows), 127).astype(np.uint8)
+                found.append(grow(x, y, weights if weights.any() else np.ones_like(weights), depth, math.ceil(math.sqrt(features)), random))
+            found = _joined(found)
+            yield pa.RecordBatch.from_arrays([pa.array([found[name].tobytes()], pa.binary()) for name in _TREE], list(_TREE))
 
-    fitted = spark.range(0, groups, 1, groups).withColumnRenamed("id", "group").crossJoin(table.hint("shuffle_replicate_nl")).mapInArrow(some_trees, ", ".join(f"{name} binary" for name in _TREE))
+    fitted = spark.range(0, groups, 1, groups).withColumnRenamed("id", "group").crossJoin(table.coalesce(1).hint("shuffle_replicate_nl")).mapInArrow(some_trees, ", ".join(f"{name} binary" for name in _TREE))
     return GrownForest(staged(fitted), inputs, edges, numTrees=trees, maxDepth=depth, maxBins=bins, seed=seed)

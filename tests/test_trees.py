@@ -50,10 +50,10 @@ def brute(x, y, w, rows, depth):
     return p / n, (*best, left, right)
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_deep_trees_with_weights_equal_brute_force(seed):
+@pytest.mark.parametrize(("seed", "most", "heavy"), [(0, 90, 1), (1, 90, 1), (2, 90, 1), (3, 65_000, 60)])
+def test_deep_trees_with_weights_equal_brute_force(seed, most, heavy):
     random = np.random.default_rng(seed)
-    x, y, w = random.integers(0, [4, 30, 90], (300, 3)).astype(np.uint16), random.integers(0, 2, 300).astype(np.uint8), random.poisson(1, 300).astype(np.uint8)
+    x, y, w = random.integers(0, [4, 30, most], (300, 3)).astype(np.uint16), random.integers(0, 2, 300).astype(np.uint8), np.minimum(random.poisson(heavy, 300), 127).astype(np.uint8)
     tree = trees.grow(x, y, w, 20, 3, random)
     tree_of = brute(x.astype(int), y.astype(int), w.astype(int), np.flatnonzero(w), 20)
 
@@ -98,6 +98,17 @@ def test_a_forest_takes_as_many_jobs_at_any_depth(spark):
     assert few == many < 20
 
 
+def test_all_rows_and_other_columns_come_back(spark):
+    df = prepared(table(spark)[0]).repartition(3)
+    model = forest.fit_forest(df, trees=8, depth=12, bins=64, ids=("id",))
+    got = forest.predict(model, df, ids=("id",))
+    assert got.columns == ["id", "label", "probability", "prediction"]
+    r = got.agg(F.count("*"), F.countDistinct("id"), F.max(F.abs(F.expr("probability[0] + probability[1] - 1"))), F.sum(F.expr("int((probability[1] > 0.5) <> (prediction = 1))"))).first()
+    assert tuple(r)[:2] == (4000, 4000) and r[2] < 1e-12 and r[3] == 0
+    assert forest.accuracy(got) > 0.75
+    assert forest.predict(model, df.limit(0), ids=("id",)).count() == 0
+
+
 def test_a_forest_is_as_good_as_sparks(spark, monkeypatch):
     """Beyond what a task holds Spark's forest is fitted; on rows held out both are as good."""
     train, test = forest.split(prepared(table(spark, 8000)[0]).localCheckpoint(), "id", 0.3)
